@@ -107,3 +107,55 @@ def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
     total = mix(total)
     total.sort()
     return total[np.concatenate([[True], total[1:] != total[:-1]])]
+
+
+_EXACT = [mix(np.arange(1, 257, dtype=np.uint64) * _U(c)) for c in (0xD1342543DE82EF95, 0xAEF17502108EF2D9)]
+
+
+def _line_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, two hashes and word count of each line of data; data of n line feeds has n + 1 lines."""
+    raw = np.frombuffer(data, np.uint8)
+    ends = np.concatenate([np.flatnonzero(raw == 10), [len(raw)]])
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    up, down = powers(len(raw) + 1)
+    out = []
+    with np.errstate(over="ignore"):
+        for code in _EXACT:
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code[raw] * up[:-1], dtype=np.uint64)])
+            out.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)).view(np.int64))
+    gap = np.concatenate([[True], _SPACE[raw]])
+    words = np.flatnonzero(gap[:-1] & ~gap[1:])
+    return starts, out[0], out[1], np.searchsorted(words, ends) - np.searchsorted(words, starts)
+
+
+def lines_of(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Two 64-bit hashes and the word count of each line of each text; null is empty, which is one empty line."""
+    held: list[bytes] = []
+    size = 0
+
+    def together() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        starts, a, b, words = _line_hashes(b"\n".join(held))
+        at = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in held]))
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            yield a[i:j], b[i:j], words[i:j]
+
+    for text in texts:
+        data = (text or "").encode()
+        if len(data) > BLOCK:
+            if held:
+                yield from together()
+                held, size = [], 0
+            parts, at = [], 0
+            while len(data) - at > BLOCK and (cut := data.find(b"\n", at + BLOCK)) >= 0:
+                parts.append(_line_hashes(data[at:cut])[1:])
+                at = cut + 1
+            parts.append(_line_hashes(data[at:])[1:])
+            yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+            continue
+        held.append(data)
+        size += len(data) + 1
+        if size > BLOCK:
+            yield from together()
+            held, size = [], 0
+    if held:
+        yield from together()
