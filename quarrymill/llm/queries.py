@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import fingerprints, linededup, mixing, neardup, packing, toxicity, warc
+from quarrymill.llm import ann, fingerprints, linededup, mixing, neardup, packing, toxicity, warc
 from quarrymill.llm.common import new_dir, table
 
 
@@ -39,6 +39,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup_table(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbour_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_line_dedup": op6_line_dedup,
+    "op7_nearest": op7_nearest,
     "op8_fingerprints": op8_fingerprints,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
