@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import ann, fingerprints, linededup, mixing, neardup, packing, toxicity, warc
+from quarrymill.llm import ann, fingerprints, linededup, mixing, neardup, packing, suffixdedup, toxicity, warc
 from quarrymill.llm.common import new_dir, table
 
 
@@ -21,6 +21,10 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_dir(spark, "archive")
     warc.write_archive(table(spark, sf_dir, "pages"), root)
@@ -57,6 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
