@@ -96,7 +96,8 @@ def mixing_plan(docs: DataFrame, *, weights: dict | None = None, cycle: tuple[fl
 
     spark = docs.sparkSession
     kind = docs.schema[source].dataType.simpleString()
-    about = spark.createDataFrame([(r.source, r["size"], t, f, x) for r, t, f, x in zip(rows, targets, full, rest, strict=True)], f"source {kind}, source_size long, target double, full int, rest long")
+    # A row for each source, of which there are MAX_SOURCES at most: small enough to broadcast.
+    about = F.broadcast(spark.createDataFrame([(r.source, r["size"], t, f, x) for r, t, f, x in zip(rows, targets, full, rest, strict=True)], f"source {kind}, source_size long, target double, full int, rest long"))
 
     # Passes over the permuted blocks: whole ones, and one that ends where the target is met.
     same = by_block["source"].eqNullSafe(about["source"])
@@ -108,7 +109,7 @@ def mixing_plan(docs: DataFrame, *, weights: dict | None = None, cycle: tuple[fl
 
     counts = {r.source: r.n for r in passes.groupBy("source").agg(F.count("*").alias("n")).collect()}
     quota = split_quotas(np.array([counts.get(r.source, 0) for r in rows], dtype=np.int64), shards, seed) if rows else np.zeros((shards, 0), dtype=np.int64)
-    ends = spark.createDataFrame([(r.source, [int(x) for x in np.cumsum(quota[:, i])]) for i, r in enumerate(rows)], f"source {kind}, ends array<long>")
+    ends = F.broadcast(spark.createDataFrame([(r.source, [int(x) for x in np.cumsum(quota[:, i])]) for i, r in enumerate(rows)], f"source {kind}, ends array<long>"))
     number = Window.partitionBy("source").orderBy("pass", "at")
     passes = passes.withColumn("draw", F.row_number().over(number))
     dealt = passes.join(ends, passes["source"].eqNullSafe(ends["source"])).select(passes["source"], "block", "words", "give", "pass", F.size(F.filter("ends", lambda x: x < F.col("draw"))).alias("shard"))

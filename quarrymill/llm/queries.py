@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import ann, fingerprints, linededup, mixing, neardup, packing, suffixdedup, toxicity, warc
+from quarrymill.llm import ann, fingerprints, linededup, mixing, neardup, packing, suffixdedup, tokencounts, toxicity, warc
 from quarrymill.llm.common import new_dir, table
 
 
@@ -39,6 +39,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_table(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_count_table(table(spark, sf_dir, "documents"), new_dir(spark, "tokens"), {"words": None, "word_bpe_49k": vocabulary()})
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup_table(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op7_nearest": op7_nearest,
     "op8_fingerprints": op8_fingerprints,
