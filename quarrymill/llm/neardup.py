@@ -7,9 +7,11 @@ shingle under all coordinates lie side by side in the table.
 1. One pass over the texts gives each document its set size, a 128-bit set hash and its bands.
    Documents with equal sets form a class, represented by its first document.
 2. Representatives that share a band are candidates. They are tested in rounds: first each with
-   the least of its band's members, then, in bands whose members are not yet connected, with
-   other hubs, and last each remaining pair of different components. So pairs inside a group
-   that is already connected are never made, and no partner is dropped.
+   its band's hub, the member that shares most bands with most others, then, in bands whose members
+   are not yet connected, with more hubs. So pairs inside a connected group are not made. What is
+   left in unconnected bands has been found unlike its hubs; there every remaining pair is covered by
+   prefixes: two sets that are alike enough share one of the rarest shingles of each (as many as may be
+   missing, and one more), so only pairs that share such a shingle are tested. No partner is dropped.
 3. A pair is a link if 100 * |A and B| >= 75 * |A or B| on the full sets. Components follow from
    label propagation with pointer jumping.
 """
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.llm.common import free_name, materialise, with_row_key
@@ -28,8 +30,8 @@ from quarrymill.llm.common import free_name, materialise, with_row_key
 BANDS = 40
 BAND_ROWS = 4
 DOMAIN_BITS = 18
-#: Rounds in which the members of a band are tested against one hub, before the rest follow pair by pair.
-HUB_ROUNDS = 3
+#: Hubs of a band that its members are tested with, round by round, before what is left follows by its rarest shingles.
+HUBS = (1, 4)
 ROWS_AT_ONCE = 256
 _U = np.uint64
 
@@ -137,8 +139,11 @@ def near_duplicates(docs: DataFrame, *, row: str, doc_id: str = "doc_id", text:
     classes = materialise(full.groupBy("h1", "h2", "n_shingles").agg(F.min("row").alias("node"), F.min_by("bands", "row").alias("bands")), "classes")
 
     members = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    hubs = members.groupBy("key").agg(F.count("*").alias("n_members"), F.min(F.struct("node", "n")).alias("hub")).where("n_members > 1")
-    shared = materialise(members.join(hubs.select("key", "hub"), "key"), "shared-bands")
+    sizes = materialise(members.groupBy("key").agg(F.count("*").alias("n_members")).where("n_members > 1"), "bands")
+    shared = materialise(members.join(sizes, "key"), "shared-bands")
+    # How many others a node meets in its bands: the middle of a family of edited copies has most.
+    score = shared.groupBy("node").agg(F.sum("n_members").alias("score"))
+    shared = materialise(shared.drop("n_members").join(score, "node"), "scored-bands")
 
     def fits(a: str, b: str) -> str:
         """Sets whose sizes differ more can't reach the share."""
@@ -154,29 +159,41 @@ def near_duplicates(docs: DataFrame, *, row: str, doc_id: str = "doc_id", text:
         tested = pairs.join(one, "a").join(two, "b").withColumn("both", both)
         return tested.where(100 * F.col("both") >= percent * (F.size("set_a") + F.size("set_b") - F.col("both"))).select("a", "b")
 
-    tested = materialise(shared.where("node != hub.node").where(fits("n", "hub.n")).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), "pairs")
-    edges = materialise(verified(tested), "links")
-    label = components(edges)
-    for turn in range(1, HUB_ROUNDS + 1):
-        now = shared.select("key", "node", "n").join(label, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-        split = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "label")).alias("hub")).where("lo != hi").select("key", "hub")
-        mixed = now.join(split, "key")
-        if turn < HUB_ROUNDS:
-            pairs = mixed.where("label != hub.label").where(fits("n", "hub.n")).select(F.least("node", "hub.node").alias("b"), F.greatest("node", "hub.node").alias("a"))
+    def rare(rest: DataFrame) -> DataFrame:
+        """node, other: pairs of different labels whose sets share one of the rarest shingles of each."""
+        said = sets.join(rest, "node").select("node", "label", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+        seen = materialise(said.groupBy("shingle").agg(F.count("*").alias("seen"), F.min("label").alias("lo"), F.max("label").alias("hi")), "shingles")
+        ordered = said.join(seen.select("shingle", "seen", (F.col("lo") != F.col("hi")).alias("split")), "shingle").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("seen", "shingle", "split"))).alias("all"))
+        prefix = ordered.select("node", "label", "n", F.posexplode(F.expr(f"slice(all, 1, n - cast(ceil({percent} * n / 100) as int) + 1)")).alias("at", "x"))
+        prefix = materialise(prefix.where("x.split").select("node", "label", "n", "at", F.col("x.shingle").alias("shingle")), "prefixes")
+        other = prefix.select("shingle", F.col("node").alias("other"), F.col("label").alias("label_o"), F.col("n").alias("n_o"), F.col("at").alias("at_o"))
+        # What can still be shared from here on must be enough.
+        enough = f"least(n - at, n_o - at_o) * {100 + percent} >= {percent} * (n + n_o)"
+        return prefix.join(other, "shingle").where("node > other and label != label_o").where(fits("n", "n_o")).where(enough).select("node", "other")
+
+    label = materialise(nodes.select(F.col("row").alias("node"), F.col("row").alias("label")), "labels")
+    tested = None
+    for turn, hubs in enumerate([*HUBS, None]):
+        now = shared.join(label, "node")
+        if turn:
+            split = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
+            now = materialise(now.join(split, "key", "left_semi"), "mixed-bands")
+        if hubs is None:
+            pairs = rare(now.select("node", "label").distinct())
         else:
-            mixed = materialise(mixed.select("key", "node", "n", "label"), "mixed-bands")
-            other = mixed.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-            pairs = mixed.join(other, "key").where("node > b and label != label_b").where(fits("n", "n_b")).select(F.col("node").alias("a"), "b")
-        new = materialise(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            if turn < HUB_ROUNDS:
-                continue
-            break
-        found = materialise(verified(new), "links")
-        tested = tested.unionByName(new)
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            label = components(edges)
+            drawn = F.col("score") * (1 + F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1000)) / 4000 * min(turn, 1))
+            other = now.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy(drawn.desc(), "node"))).where(F.col("at") <= hubs)
+            other = other.select("key", F.col("node").alias("other"), F.col("n").alias("n_o"), F.col("label").alias("label_o"))
+            pairs = now.join(other, "key").where("label != label_o").where(fits("n", "n_o"))
+        pairs = pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+        new = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = new if tested is None else tested.unionByName(new)
+        named = materialise(verified(new), "links")
+        for end in ("a", "b"):
+            named = named.join(label.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end)
+        merged = components(named.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+        merged = merged.select(F.col("node").alias("label"), F.col("label").alias("least"))
+        label = materialise(label.join(merged, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels")
 
     of_class = classes.select("h1", "h2", F.col("n_shingles").alias("n"), "node").join(label, "node", "left").select("h1", "h2", "n", F.coalesce("label", "node").alias("label"))
     joined = base.select("row", "n_shingles", "h1", "h2").join(of_class, (base["h1"] == of_class["h1"]) & (base["h2"] == of_class["h2"]) & (base["n_shingles"] == of_class["n"]), "left")
