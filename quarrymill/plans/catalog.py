@@ -226,12 +226,12 @@ def date_parse(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "line_sections",
     "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL), "
-    "s AS (SELECT *, last_value(CASE WHEN len(line) < 40 THEN pos END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM l) SELECT doc_id, section, count(*) AS n_lines FROM s GROUP BY ALL",
+    "s AS (SELECT *, last_value(CASE WHEN len(line) < 40 THEN pos END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM l) SELECT doc_id, coalesce(section, -1) AS section, count(*) AS n_lines FROM s GROUP BY ALL",
 )
 def line_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """A line under 40 characters heads the lines after it."""
+    """A line under 40 characters heads the lines after it; -1 before the first."""
     lines = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return tables.carried_sections(lines, "doc_id", "pos", F.when(F.char_length("line") < 40, F.col("pos"))).groupBy("doc_id", "section").agg(F.count("*").alias("n_lines"))
+    return tables.carried_sections(lines, "doc_id", "pos", F.when(F.char_length("line") < 40, F.col("pos"))).groupBy("doc_id", F.coalesce("section", F.lit(-1)).alias("section")).agg(F.count("*").alias("n_lines"))
 
 
 # Roll-ups
