@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, broken lines): malformed lines are set apart, not fatal."""
-    both = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
-    return both.where("_broken is null").drop("_broken"), both.where("_broken is not null").select(F.col("_broken").alias("line"))
+    parsed = F.from_json("value", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    both = spark.read.text(path).where("trim(value) <> ''").select("value", parsed.alias("r"))
+    return both.where("r._broken is null").select("r.*").drop("_broken"), both.where("r._broken is not null").select(F.col("value").alias("line"))
 
 
 def json_pages(spark: SparkSession, path: str, item_schema: str) -> DataFrame:

@@ -14,7 +14,7 @@ def test_text_functions(spark):
         T.mask_personal(F.lit("a@b.co 123.456.789-00")).alias("masked"), T.html_to_text(F.lit("<script>x</p></script><li>a</li>&amp;")).alias("html"), T.tolerant_date(F.lit("31/12/2020")).cast("string").alias("d"), T.tolerant_date(F.lit("x")).alias("bad"),
     ).first()
     assert (row["fold"], row["clean"], row["slug"], row["none"]) == ("orgao", "a b", "acao-n-1", [])
-    assert (row["masked"], row["html"], row["d"], row["bad"]) == ("[EMAIL] [ID]", "- a\n&", "2020-12-31", None)
+    assert (row["masked"], row["html"], row["d"], row["bad"]) == ("[EMAIL] [ID]", "\n- a\n&", "2020-12-31", None)
 
 
 def test_bm25_of_nulls_and_no_rows(spark):
