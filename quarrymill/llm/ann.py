@@ -7,10 +7,12 @@
 3. The window is what the data need: for a bounded sample of queries the true neighbours are found by
    reading all vectors in blocks, and the window is the least distance in positions that holds `RECALL` of them
    on one curve or another. The index covers every row whatever the window is.
-4. Along each curve, stretches of queries meet the packed blocks of candidates in their windows; vectors are
-   compared as 8-bit numbers, and the best of all curves merge and are ranked again by exact products.
+4. Along each curve, stretches of queries meet the packed blocks of candidates in their windows. Vectors are
+   compared as 16-bit numbers that carry a bound on their error: a candidate is left out only if its product is
+   surely below that of `k` others, so all neighbours in a window reach the ranking by exact products, and the
+   share that the sample measures is the share of the results.
 
-No step holds more than a block, a stretch, or a query's best in memory.
+No step holds more than a block, a stretch, its best products, or `PENDING` candidates in memory.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ SAMPLE_QUERIES = 128
 #: Positions in a block of candidates and in a stretch of queries.
 BLOCK = 1024
 STRETCH = 4096
-#: Candidates kept by 8-bit products for each result wanted.
-SPARE = 2
+#: Candidates of a stretch held at most before they are passed on.
+PENDING = 1 << 20
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -104,6 +106,36 @@ def _nodes(vectors: DataFrame, width: int) -> DataFrame:
     return whole.mapInArrow(run, "vec_id long, node binary, v binary")
 
 
+def _pack(v: np.ndarray) -> list[bytes]:
+    """Rows as 16-bit numbers after a scale, a bound on the error of a product for each unit of the other's length, and a bound on the own length."""
+    with np.errstate(over="ignore"):
+        scale = (np.abs(v).max(1, keepdims=True) / 32767).astype(np.float32)
+    near = np.rint(np.divide(v, scale, out=np.zeros_like(v), where=scale > 0)).clip(-32767, 32767).astype(np.int16)
+    length = np.linalg.norm(v, axis=1)
+    # The rest that rounding leaves, and what a product summed in single precision can be off.
+    off = np.linalg.norm(v - near.astype(np.float32) * scale, axis=1) + (v.shape[1] + 8) * 2.0**-23 * length
+    head = np.column_stack([scale[:, 0], *(np.nextafter(x.astype(np.float32), np.float32(np.inf)) for x in (off, length))])
+    return [a.tobytes() + b.tobytes() for a, b in zip(head, near, strict=True)]
+
+
+def _unpack(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The rounded vectors, and (error, length) of each."""
+    raw = np.array([np.frombuffer(x, np.int16) for x in rows])
+    head = np.ascontiguousarray(raw[:, :6]).view(np.float32)
+    return raw[:, 6:].astype(np.float32) * head[:, :1], head[:, 1:]
+
+
+def _products(q: np.ndarray, q_bounds: np.ndarray, v: np.ndarray, v_bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the exact products of unpacked rows; numbers out of single precision's range bound nothing."""
+    with np.errstate(all="ignore"):
+        product = q @ v.T
+        error = q_bounds[:, ::-1] @ v_bounds.T + np.float32(2.0**-126)  # |q| off(v) + off(q) |v|
+        low, high = product - error, product + error
+    low[~(low < np.inf)] = -np.inf
+    high[~(high > -np.inf)] = np.inf
+    return low, high
+
+
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k largest of each row."""
     return np.argpartition(-scores, k - 1, axis=1)[:, :k] if scores.shape[1] > k else np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
@@ -165,16 +197,14 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, recall: float =
     if not some:
         return empty
     fitted = ShiftedCurves(np.array([np.frombuffer(r["v"]) for r in sample]), curves)
-    step, spare = STRETCH, SPARE * (k + 1)
+    step = STRETCH
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 v = _matrix(batch.column(1))
                 keys = fitted.keys(v)
-                scale = np.abs(v).max(1, keepdims=True) / 127
-                small = np.concatenate([scale.astype(np.float32).view(np.int8).reshape(len(v), 4), np.rint(v / scale).astype(np.int8)], 1)
-                packed = pa.array([r.tobytes() for r in small], pa.binary())
+                packed = pa.array(_pack(v), pa.binary())
                 for c in range(keys.shape[1]):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c, np.int32)), pa.array(keys[:, c]), batch.column(0), packed, batch.column(2)], ["curve", "key", "node", "v", "is_query"])
 
@@ -198,42 +228,47 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, recall: float =
     # Dealt by a hash of its own: both sides are already dealt by curve and stretch, but not into the same partitions once AQE has merged some.
     meeting = meeting.repartition(partitions(spark), F.xxhash64("curve", "stretch", F.lit(2))).sortWithinPartitions("curve", "stretch", "block")
 
-    def unpack(rows: pa.Array) -> tuple[np.ndarray, list, np.ndarray]:
-        raw = np.array([np.frombuffer(x, np.int8) for x in rows.field("v").to_pylist()])
-        return rows.field("pos").to_numpy(), rows.field("node").to_pylist(), raw[:, 4:].astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, mine = None, None
+        now, held = None, []
+
+        def pairs() -> pa.RecordBatch:
+            q, nodes, low, high = (np.concatenate(x) for x in zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([names[i] for i in q], pa.binary()), pa.array(nodes.tolist(), pa.binary()), pa.array(low.astype(np.float64)), pa.array(high.astype(np.float64))], ["q", "node", "low", "high"])
 
-        def done() -> pa.RecordBatch:
-            keep = scores > -np.inf
-            q = np.nonzero(keep)[0]
-            return pa.RecordBatch.from_arrays([pa.array([names[i] for i in q], pa.binary()), pa.array(list(best[keep]), pa.binary()), pa.array(scores[keep].astype(np.float64))], ["q", "node", "near"])
+        def pruned() -> list:
+            return [tuple(x[keep] for x in part) for part in held if (keep := ~(part[3] < floor[part[0]])).any()]
 
         for batch in batches:
             for i in range(batch.num_rows):
-                at, block = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py()), batch.column(2)[i].as_py()
-                pos, nodes, v = unpack(batch.column(3)[i].values)
+                at, block, rows = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py()), batch.column(2)[i].as_py(), batch.column(3)[i].values
+                pos, nodes, (v, bounds) = rows.field("pos").to_numpy(), rows.field("node").to_pylist(), _unpack(rows.field("v").to_pylist())
                 if block < 0:
-                    if mine is not None:
-                        yield done()
-                    now, mine, names, where = at, v, nodes, pos
-                    scores, best = np.full((len(v), 0), -np.inf, np.float32), np.empty((len(v), 0), object)
+                    if now is not None and (held := pruned()):
+                        yield pairs()
+                    now, mine, mine_bounds, names, where, held = at, v, bounds, nodes, pos, []
+                    best, floor = np.full((len(v), k), -np.inf, np.float32), np.full(len(v), -np.inf, np.float32)
                     continue
-                new = mine @ v.T
+                low, high = _products(mine, mine_bounds, v, bounds)
                 gap = pos[None, :] - where[:, None]
-                new[(np.abs(gap) > window) | (gap == 0)] = -np.inf
-                scores = np.concatenate([scores, new], 1)
-                best = np.concatenate([best, np.broadcast_to(np.array([*nodes, None], object)[:-1], new.shape)], 1)
-                top = _best(scores, spare)
-                scores, best = np.take_along_axis(scores, top, 1), np.take_along_axis(best, top, 1)
-        if mine is not None:
-            yield done()
-
-    found = meeting.select("curve", "stretch", "block", "rows").mapInArrow(meet, "q binary, node binary, near double")
-    found = found.groupBy("q", "node").agg(F.max("near").alias("near"))
-    ranked = Window.partitionBy("q").orderBy(F.desc("near"), "node")
-    pairs = found.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= spare).select("q", "node")
+                out = (np.abs(gap) > window) | (gap == 0)
+                low[out] = -np.inf
+                best = np.concatenate([best, low], 1)
+                best = np.take_along_axis(best, _best(best, k), 1)
+                floor = best.min(1)  # k others have at least this product
+                q, j = np.nonzero(~out & ~(high < floor[:, None]))
+                held.append((q, np.array([*nodes, None], object)[:-1][j], low[q, j], high[q, j]))
+                if sum(len(part[0]) for part in held) > PENDING:
+                    held = pruned()
+                    if sum(len(part[0]) for part in held) > PENDING // 2:
+                        yield pairs()
+                        held = []
+        if now is not None and (held := pruned()):
+            yield pairs()
+
+    found = meeting.select("curve", "stretch", "block", "rows").mapInArrow(meet, "q binary, node binary, low double, high double")
+    found = found.groupBy("q", "node").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+    ranked = Window.partitionBy("q").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pairs = found.withColumn("floor", F.nth_value("low", k).over(ranked)).where("floor is null or not high < floor").select("q", "node")
     itself = classes.where("is_query").select(F.col("node").alias("q"), "node")
     pairs = materialise(pairs.unionByName(itself), "pairs")
 
