@@ -7,7 +7,8 @@ a text make a few features, and a logistic curve fitted on other labelled docume
 into a calibrated probability.
 
 Learning sees a bounded sample of labelled rows (`MAX_ROWS` of each label and fold), with their whole
-texts; scoring reads every window of every text.
+texts, except that what marks toxic texts is held against all ordinary texts of its fold: only so can
+rare wording be told from chance. Scoring reads every window of every text.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.llm.common import materialise
+
 #: Labelled rows of each label that learning reads at most, for the dictionaries and again to calibrate.
 MAX_ROWS = 1500
 WINDOW = 128
 GRAM = 6
-#: A gram marks toxic texts if this share of them has it, and this many times the share of others.
-LEAST_SHARE = 0.03
-LEAST_RATIO = 8.0
+#: A gram marks toxic texts if so many of them have it, and this many times the share of others.
+LEAST_TEXTS = 6
+LEAST_RATIO = 24.0
 FEATURES = 4
 
 
@@ -55,15 +58,40 @@ def _grams(data: bytes) -> np.ndarray:
     return out
 
 
-def _marking_spans(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+def _texts_with(texts: DataFrame, grams: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many of the different texts each of the sorted grams occurs, and the number of those texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = np.zeros(len(grams), np.int64), 0
+        for batch in batches:
+            for x in batch.column(0):
+                own = np.unique(_grams((x.as_py() or "").lower().encode()))
+                at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+                found[at[grams[at] == own]] += 1
+            n += batch.num_rows
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(found[at], n))], ["gram", "n"])
+
+    counts = texts.select(F.col("text")).distinct().mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    out, total = np.zeros(len(grams), np.int64), 0
+    for r in counts.collect():  # a row for each gram at most, and one
+        if r["gram"] < 0:
+            total = r["n"]
+        else:
+            out[r["gram"]] = r["n"]
+    return out, total
+
+
+def _marking_spans(toxic: list[bytes], ordinary: DataFrame) -> list[bytes]:
     """Stretches of the toxic texts made of grams that are much rarer in the ordinary ones."""
-    seen: tuple[Counter, Counter] = Counter(), Counter()
-    for counts, texts in zip(seen, (ordinary, toxic), strict=True):
-        for t in texts:
-            counts.update(np.unique(_grams(t)).tolist())
-    n0, n1 = max(1, len(ordinary)), max(1, len(toxic))
-    least = max(2.0, LEAST_SHARE * n1)
-    marks = np.array(sorted(g for g, c in seen[1].items() if c >= least and c / n1 > LEAST_RATIO * (seen[0].get(g, 0) + 1) / n0), np.uint64)
+    counts: Counter = Counter()
+    for t in toxic:
+        counts.update(np.unique(_grams(t)).tolist())
+    marks = np.array(sorted(g for g, c in counts.items() if c >= LEAST_TEXTS), np.uint64)
+    if len(marks):
+        others, n0 = _texts_with(ordinary, marks)
+        own = np.array([counts[g] for g in marks.tolist()])
+        marks = marks[own / len(toxic) > LEAST_RATIO * (others + 1) / max(1, n0)]
     spans = []
     for t in toxic if len(marks) else []:
         grams = _grams(t)
@@ -162,20 +190,20 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     texts count once. Without rows of a fold or a label the score is the share of label 1 (0.5 with none).
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (_fold(doc_id) != 1)).groupBy(F.col(doc_id).alias("labelled")).agg((F.max(label) == 1).cast("int").alias("toxic"))
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(known, F.col("id") == F.col("labelled"))
-    rows = rows.select("toxic", _fold("id").cast("int").alias("fold"), "text").withColumn("order", F.xxhash64("text"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(known.hint("merge"), F.col("id") == F.col("labelled"))
+    # Written once: the samples and counts below each read all of it.
+    rows = materialise(rows.select("toxic", _fold("id").cast("int").alias("fold"), "text"), "labelled").withColumn("order", F.xxhash64("text"))
     totals = {(r["fold"], r["toxic"]): r["n"] for r in rows.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     sample: dict[tuple[int, int], list[str]] = {}
     for fold in (0, 2):
         for kind in (0, 1):  # four bounded samples, in the order of a hash of the text
             part = rows.where((F.col("fold") == fold) & (F.col("toxic") == kind)).orderBy("order").limit(MAX_ROWS)
             sample[fold, kind] = list(dict.fromkeys(r["text"] or "" for r in part.select("text").toLocalIterator()))
-    ordinary = [t.lower().encode() for t in sample[0, 0]]
     toxic = [t.lower().encode() for t in sample[0, 1]]
     plain = [w for t in sample[0, 0] for w in windows(t)]
     plain = plain[:: max(1, len(plain) // 20_000)]
     base = _dictionary(plain, 4096, 32)
-    spans = _marking_spans(toxic, ordinary)
+    spans = _marking_spans(toxic, rows.where("fold = 0 and toxic = 0"))
     model = ToxicityModel(base, _dictionary(list(dict.fromkeys(spans)), 3072, 24) if spans else b"")
     tools = model.compressors()
     texts = [(t, kind) for kind in (0, 1) for t in sample[2, kind]]

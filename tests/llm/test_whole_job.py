@@ -4,10 +4,12 @@ import pytest
 
 pytest.importorskip("quarrymill.llm")
 
+import random  # noqa: E402
+
 import numpy as np  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from quarrymill.llm import ann  # noqa: E402
+from quarrymill.llm import ann, toxicity  # noqa: E402
 
 
 def test_nearest_inside_tight_clusters(spark):
@@ -33,3 +35,22 @@ def test_packed_products_keep_their_bounds():
     rows = ann._unpack(ann._pack(v))
     (low, high), true = ann._products(*rows, *rows), v @ v.T
     assert (low <= true).all() and (true <= high).all() and np.median((high - low)[:200, :200]) < 0.02
+
+
+def test_toxicity_knows_rare_wording(spark):
+    """Each insult is in 2 % of the toxic texts."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    insults = [word(9) for _ in range(50)]
+    rows = []
+    for i in range(6000):
+        words = [word(rng.randint(2, 7)) for _ in range(15)]
+        if i % 4 == 0:
+            words[5:5] = rng.choice(insults), word(3)
+            words[10:10] = [words[5]]
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, truth int")
+    got = toxicity.toxicity_table(docs, docs.select("doc_id", F.col("truth").alias("toxic"))).where("held_out").join(docs, "doc_id")
+    caught = {r["truth"]: r["share"] for r in got.groupBy("truth").agg(F.avg("predicted").alias("share")).collect()}
+    print("caught", caught)
+    assert caught[1] >= 0.6 and caught[0] <= 0.02
