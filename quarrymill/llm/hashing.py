@@ -1,12 +1,14 @@
-"""Word and shingle hashes of whole texts in NumPy, for the operators that run Arrow batches.
+"""Word, shingle and line hashes of whole texts, for the operators that run Arrow batches.
 
 Words are the maximal runs of bytes outside 0x20 and 0x09-0x0D, with A-Z lowered. Texts are
 handled together up to about `BLOCK` bytes; a longer text is cut between words, so memory does
-not follow a text's length except for its 8-byte hash a word.
+not follow a text's length except for its 8-byte hash a word. No hash that decides a result is a
+polynomial: words are mixed eight bytes at a time (long ones by BLAKE2b), lines are BLAKE2b-128.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,31 +29,34 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_CODE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))[_LOWER]
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base, and of its inverse, modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        size = max(n, BLOCK + 4096)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            with np.errstate(over="ignore"):
-                _POWERS[k] = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]))
-    return _POWERS[0][:n], _POWERS[1][:n]
+_GOLD = 0x9E3779B97F4A7C15
+_BASE = _GOLD | 1
+#: Words above so many bytes are hashed by BLAKE2b.
+LONG_WORD = 64
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word in data."""
-    raw = np.frombuffer(data, np.uint8)
+    """Start and hash of each word in data, A-Z lowered."""
+    raw = _LOWER[np.frombuffer(data, np.uint8)]
     gap = np.concatenate([[True], _SPACE[raw], [True]])
     starts = np.flatnonzero(gap[:-1] & ~gap[1:])
-    ends = np.flatnonzero(~gap[:-1] & gap[1:])
-    up, down = powers(len(raw) + 1)
+    size = np.flatnonzero(~gap[:-1] & gap[1:]) - starts
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODE[raw] * up[:-1], dtype=np.uint64)])
-        return starts, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        out = mix(size.astype(np.uint64) * _U(_GOLD) + _U(1))
+        live = np.flatnonzero(size <= LONG_WORD)
+        for at in range(0, LONG_WORD, 8):
+            live = live[size[live] > at]
+            if not len(live):
+                break
+            chunk = eights[starts[live] + at] & _KEEP[np.minimum(size[live] - at, 8)]
+            out[live] = mix((out[live] ^ chunk) + _U(_GOLD))
+    for i in np.flatnonzero(size > LONG_WORD):
+        word = raw[starts[i] : starts[i] + size[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return starts, out
 
 
 def _cuts(text: bytes) -> Iterator[bytes]:
@@ -109,27 +114,24 @@ def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
     return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
-_EXACT = [mix(np.arange(1, 257, dtype=np.uint64) * _U(c)) for c in (0xD1342543DE82EF95, 0xAEF17502108EF2D9)]
+def names(parts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """BLAKE2b-128 of each byte string, as two longs."""
+    both = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in parts]), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def _line_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, two hashes and word count of each line of data; data of n line feeds has n + 1 lines."""
+    """Start, two halves of the hash and word count of each line of data; data of n line feeds has n + 1 lines."""
     raw = np.frombuffer(data, np.uint8)
     ends = np.concatenate([np.flatnonzero(raw == 10), [len(raw)]])
     starts = np.concatenate([[0], ends[:-1] + 1])
-    up, down = powers(len(raw) + 1)
-    out = []
-    with np.errstate(over="ignore"):
-        for code in _EXACT:
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code[raw] * up[:-1], dtype=np.uint64)])
-            out.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)).view(np.int64))
     gap = np.concatenate([[True], _SPACE[raw]])
     words = np.flatnonzero(gap[:-1] & ~gap[1:])
-    return starts, out[0], out[1], np.searchsorted(words, ends) - np.searchsorted(words, starts)
+    return starts, *names(data.split(b"\n")), np.searchsorted(words, ends) - np.searchsorted(words, starts)
 
 
 def lines_of(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Two 64-bit hashes and the word count of each line of each text; null is empty, which is one empty line."""
+    """The two halves of the 128-bit hash and the word count of each line of each text; null is empty, which is one empty line."""
     held: list[bytes] = []
     size = 0
 

@@ -4,8 +4,10 @@ Signatures need two permutations only: one deals shingle hashes over a domain, t
 as a table and shifted by one place for each coordinate, ranks the domain. So the ranks of a
 shingle under all coordinates lie side by side in the table.
 
-1. One pass over the texts gives each document its set size, a 128-bit set hash and its bands.
-   Documents with equal sets form a class, represented by its first document.
+1. One pass over the texts gives each document its set size, a BLAKE2b-128 name of its sorted set and
+   its bands. Documents with equal sets form a class, represented by its first document. A coordinate is
+   the shingle that has the least rank, not the rank: in long texts the least ranks are a handful of small
+   numbers that unlike texts share.
 2. Representatives that share a band are candidates. They are tested in rounds: first each with
    its band's hub, the member that shares most bands with most others, then, in bands whose members
    are not yet connected, with more hubs. So pairs inside a connected group are not made. What is
@@ -18,18 +20,21 @@ shingle under all coordinates lie side by side in the table.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import free_name, materialise, with_row_key
+from quarrymill.llm.common import forget, free_name, materialise, with_row_key
 
 BANDS = 40
 BAND_ROWS = 4
 DOMAIN_BITS = 18
+#: Bits of the shingle's own hash below its rank in a coordinate.
+OWN_BITS = 32 - DOMAIN_BITS
 #: Hubs of a band that its members are tested with, round by round, before what is left follows by its rarest shingles.
 HUBS = (1, 4)
 ROWS_AT_ONCE = 256
@@ -42,7 +47,7 @@ class CirculantMinHash:
     def __init__(self, bands: int = BANDS, rows: int = BAND_ROWS, seed: int = 1):
         rng = np.random.default_rng(seed)
         self.bands, self.rows, self.size = bands, rows, bands * rows
-        ranks = rng.permutation(1 << DOMAIN_BITS).astype(np.uint32)
+        ranks = rng.permutation(1 << DOMAIN_BITS).astype(np.uint32) << np.uint32(OWN_BITS)
         self.shifted = np.lib.stride_tricks.sliding_window_view(np.concatenate([ranks, ranks[: self.size]]), self.size)
         self.deal = _U(int(rng.integers(1 << 62)) * 2 + 1)
         self.salt = rng.integers(1 << 63, size=bands, dtype=np.int64).astype(np.uint64)
@@ -53,12 +58,16 @@ class CirculantMinHash:
         if not filled:
             return out
         with np.errstate(over="ignore"):
-            places = (np.concatenate([sets[i] for i in filled]) * self.deal) >> _U(64 - DOMAIN_BITS)
+            dealt = np.concatenate([sets[i] for i in filled]) * self.deal
+        places = (dealt >> _U(64 - DOMAIN_BITS)).astype(np.int64)
+        own_bits = (dealt >> _U(64 - DOMAIN_BITS - OWN_BITS) & _U((1 << OWN_BITS) - 1)).astype(np.uint32)[:, None]
         owner = np.repeat(np.array(filled), [len(sets[i]) for i in filled])
         for at in range(0, len(places), 4096):
             own = owner[at : at + 4096]
             cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            least = np.minimum.reduceat(self.shifted[places[at : at + 4096].astype(np.int64)], cut, axis=0)
+            ranks = self.shifted[places[at : at + 4096]]
+            ranks |= own_bits[at : at + 4096]
+            least = np.minimum.reduceat(ranks, cut, axis=0)
             out[own[cut]] = np.minimum(out[own[cut]], least)
         return out
 
@@ -73,7 +82,7 @@ class CirculantMinHash:
 
 
 def sketch(docs: DataFrame, row: str, text: str, *, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """row, n_shingles, the set hash h1 and h2, and bands (null for an empty set) of each text."""
+    """row, n_shingles, the name of the set, and bands (null for an empty set) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quarrymill.llm import hashing
@@ -84,13 +93,11 @@ def sketch(docs: DataFrame, row: str, text: str, *, bands: int = BANDS, rows: in
                 part = batch.slice(at, ROWS_AT_ONCE)
                 sets = [hashing.shingles(w) for w in hashing.words_of(x.as_py() for x in part.column(1))]
                 keys = minhash.band_keys(sets)
-                with np.errstate(over="ignore"):
-                    h1 = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                    h2 = [int(hashing.mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
                 n = [len(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array([k if m else None for k, m in zip(keys, n, strict=True)], pa.list_(pa.int64()))], ["row", "n_shingles", "h1", "h2", "bands"])
+                names = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array([k if m else None for k, m in zip(keys, n, strict=True)], pa.list_(pa.int64()))], ["row", "n_shingles", "name", "bands"])
 
-    return docs.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(run, "row long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return docs.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(run, "row long, n_shingles long, name binary, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -109,17 +116,19 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the least node of each component of the undirected edges (a, b)."""
+    """node, label (written): the least node of each component of the undirected edges (a, b)."""
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "edges")
     label = materialise(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "labels")
     while True:
-        near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = label.join(near, label["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(label.select(F.col("node").alias("b"), "label").hint("merge"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        step = label.join(near.hint("merge"), label["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = label.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        step = materialise(step.join(jump, "label", "left").select("node", "old", F.coalesce("further", "label").alias("label")), "labels")
+        step = materialise(step.join(jump.hint("merge"), "label", "left").select("node", "old", F.coalesce("further", "label").alias("label")), "labels")
+        forget(label)
         if step.where("label != old").isEmpty():
-            return step.select("node", "label")
-        label = step.select("node", "label")
+            forget(both)
+            return step
+        label = step
 
 
 def near_duplicates(docs: DataFrame, *, row: str, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -129,89 +138,101 @@ def near_duplicates(docs: DataFrame, *, row: str, doc_id: str = "doc_id", text:
     n_shingles, component_row (the first row of the component) and component_id (its least
     doc_id, null if all are null). Null, empty and wordless texts have no shingles and stand
     alone. Repeated rows are linked like any equal texts. Without rows there is no result row.
-    The chance to miss a link between two sets at 75 % is (1 - 0.75**4)**40 = 2.5e-7.
+    The chance to miss a link between two sets at 75 % is (1 - 0.75**4)**40 = 2.5e-7 before the prefix step.
+
+    Joins are of sides that grow with the corpus, so they are hinted to sort and merge at every size; AQE splits
+    a key that many rows share. What a key of a band comes to (count, hubs, labels) is aggregated before the shuffle.
     """
     source = docs.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sketched = sketch(source, "row", "text")
-    base = materialise(sketched, "sketch")
-    ids = source.select("row", "doc_id")
+    base = materialise(sketch(source, "row", "text"), "sketch")
     full = base.where("n_shingles > 0")
-    classes = materialise(full.groupBy("h1", "h2", "n_shingles").agg(F.min("row").alias("node"), F.min_by("bands", "row").alias("bands")), "classes")
+    classes = materialise(full.groupBy("name").agg(F.min("row").alias("node"), F.min_by("bands", "row").alias("bands"), F.first("n_shingles").alias("n")), "classes")
 
-    members = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    sizes = materialise(members.groupBy("key").agg(F.count("*").alias("n_members")).where("n_members > 1"), "bands")
-    shared = materialise(members.join(sizes, "key"), "shared-bands")
+    members = classes.select("node", "n", F.explode("bands").alias("key"))
+    keys = members.groupBy("key").agg(F.count("*").alias("n_members")).where("n_members > 1")
+    shared = materialise(members.join(keys.hint("merge"), "key"), "shared-bands")
     # How many others a node meets in its bands: the middle of a family of edited copies has most.
-    score = shared.groupBy("node").agg(F.sum("n_members").alias("score"))
-    shared = materialise(shared.drop("n_members").join(score, "node"), "scored-bands")
+    label = materialise(shared.groupBy("node").agg(F.sum("n_members").alias("score"), F.col("node").alias("label")), "labels")
+    sets = materialise(_sets(source.join(label.select(F.col("node").alias("row")).hint("merge"), "row", "left_semi")), "sets")
 
     def fits(a: str, b: str) -> str:
         """Sets whose sizes differ more can't reach the share."""
         return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
-    nodes = shared.select(F.col("node").alias("row")).distinct()
-    sets = materialise(_sets(source.join(nodes, "row", "left_semi")), "sets")
-
     def verified(pairs: DataFrame) -> DataFrame:
-        one = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
-        two = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
+        one = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")).hint("merge")
+        two = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")).hint("merge")
         both = F.size(F.array_intersect("set_a", "set_b"))
         tested = pairs.join(one, "a").join(two, "b").withColumn("both", both)
         return tested.where(100 * F.col("both") >= percent * (F.size("set_a") + F.size("set_b") - F.col("both"))).select("a", "b")
 
-    def rare(rest: DataFrame) -> DataFrame:
-        """node, other: pairs of different labels whose sets share one of the rarest shingles of each."""
-        said = sets.join(rest, "node").select("node", "label", F.size("set").alias("n"), F.explode("set").alias("shingle"))
-        seen = materialise(said.groupBy("shingle").agg(F.count("*").alias("seen"), F.min("label").alias("lo"), F.max("label").alias("hi")), "shingles")
-        ordered = said.join(seen.select("shingle", "seen", (F.col("lo") != F.col("hi")).alias("split")), "shingle").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("seen", "shingle", "split"))).alias("all"))
+    def rare(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(node, other) pairs of different labels whose sets share one of the rarest shingles of each, and the table they are made from."""
+        said = sets.join(rest.hint("merge"), "node").select("node", "label", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+        seen = said.groupBy("shingle").agg(F.count("*").alias("seen"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        seen = seen.select("shingle", "seen", (F.col("lo") != F.col("hi")).alias("split"))
+        ordered = said.join(seen.hint("merge"), "shingle").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("seen", "shingle", "split"))).alias("all"))
         prefix = ordered.select("node", "label", "n", F.posexplode(F.expr(f"slice(all, 1, n - cast(ceil({percent} * n / 100) as int) + 1)")).alias("at", "x"))
         prefix = materialise(prefix.where("x.split").select("node", "label", "n", "at", F.col("x.shingle").alias("shingle")), "prefixes")
-        other = prefix.select("shingle", F.col("node").alias("other"), F.col("label").alias("label_o"), F.col("n").alias("n_o"), F.col("at").alias("at_o"))
+        other = prefix.select("shingle", F.col("node").alias("other"), F.col("label").alias("label_o"), F.col("n").alias("n_o"), F.col("at").alias("at_o")).hint("merge")
         # What can still be shared from here on must be enough.
         enough = f"least(n - at, n_o - at_o) * {100 + percent} >= {percent} * (n + n_o)"
-        return prefix.join(other, "shingle").where("node > other and label != label_o").where(fits("n", "n_o")).where(enough).select("node", "other")
+        return prefix.join(other, "shingle").where("node > other and label != label_o").where(fits("n", "n_o")).where(enough).select("node", "other"), prefix
 
-    label = materialise(nodes.select(F.col("row").alias("node"), F.col("row").alias("label")), "labels")
-    tested = None
+    tested: list[DataFrame] = []
     for turn, hubs in enumerate([*HUBS, None]):
-        now = shared.join(label, "node")
-        if turn:
-            split = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-            now = materialise(now.join(split, "key", "left_semi"), "mixed-bands")
+        now = materialise(shared.join(label.hint("merge"), "node").select("key", "node", "n", "label", "score"), "labelled-bands")
+        order = [F.col("score") * (1 + F.pmod(F.xxhash64("node", F.lit(turn), F.lit(i)), F.lit(1000)) / 4000 * min(turn, 1)) for i in range(hubs or 0)]
+        best = [F.max(F.struct(o.alias("order"), F.col("node").alias("other"), F.col("label").alias("label_o"), F.col("n").alias("n_o"))) for o in order]
+        split = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.array(*best).alias("hubs")).where("lo != hi")
+        made = []
         if hubs is None:
-            pairs = rare(now.select("node", "label").distinct())
+            pairs, prefix = rare(now.join(split.select("key").hint("merge"), "key", "left_semi").select("node", "label").distinct())
+            made = [prefix]
         else:
-            drawn = F.col("score") * (1 + F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1000)) / 4000 * min(turn, 1))
-            other = now.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy(drawn.desc(), "node"))).where(F.col("at") <= hubs)
-            other = other.select("key", F.col("node").alias("other"), F.col("n").alias("n_o"), F.col("label").alias("label_o"))
-            pairs = now.join(other, "key").where("label != label_o").where(fits("n", "n_o"))
+            met = now.join(split.select("key", F.explode("hubs").alias("hub")).hint("merge"), "key").select("node", "n", "label", "hub.*")
+            pairs = met.where("label != label_o").where(fits("n", "n_o"))
         pairs = pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-        new = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = new if tested is None else tested.unionByName(new)
-        named = materialise(verified(new), "links")
+        for before in tested:
+            pairs = pairs.join(before.hint("merge"), ["a", "b"], "left_anti")
+        tested.append(materialise(pairs, "pairs"))
+        forget(now, *made)
+        links = materialise(verified(tested[-1]), "links")
+        named = links
         for end in ("a", "b"):
-            named = named.join(label.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end)
+            named = named.join(label.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")).hint("merge"), end)
         merged = components(named.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
-        merged = merged.select(F.col("node").alias("label"), F.col("label").alias("least"))
-        label = materialise(label.join(merged, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels")
-
-    of_class = classes.select("h1", "h2", F.col("n_shingles").alias("n"), "node").join(label, "node", "left").select("h1", "h2", "n", F.coalesce("label", "node").alias("label"))
-    joined = base.select("row", "n_shingles", "h1", "h2").join(of_class, (base["h1"] == of_class["h1"]) & (base["h2"] == of_class["h2"]) & (base["n_shingles"] == of_class["n"]), "left")
-    joined = joined.select("row", "n_shingles", F.coalesce("label", "row").alias("label")).where("row is not null")
-    named = joined.join(ids, "row")
+        least = merged.select(F.col("node").alias("label"), F.col("label").alias("least")).hint("merge")
+        new = materialise(label.join(least, "label", "left").select("node", "score", F.coalesce("least", "label").alias("label")), "labels")
+        forget(label, links, merged)
+        label = new
+    forget(shared, sets, *tested)
+
+    # Where a document's class goes, then the least id and the first row of each component.
+    of_class = classes.select("name", "node").join(label.select("node", "label").hint("merge"), "node", "left").select("name", F.coalesce("label", "node").alias("label"))
+    joined = base.select("row", "n_shingles", "name").join(of_class.hint("merge"), "name", "left").select("row", "n_shingles", F.coalesce("label", "row").alias("label"))
+    named = materialise(joined.join(source.select("row", "doc_id").hint("merge"), "row"), "components")
+    forget(base, classes, label)
     first = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
-    first = first.where(F.lit(True)).select("label", "component_id", F.col("first.row").alias("component_row"))
-    return named.join(first, "label").select("row", "doc_id", "n_shingles", "component_row", "component_id")
+    first = first.select("label", "component_id", F.col("first.row").alias("component_row"))
+    return named.join(first.hint("merge"), "label").select("row", "doc_id", "n_shingles", "component_row", "component_id")
 
 
 def near_duplicate_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+    """doc_id, n_shingles, component_id and kept of every document.
+
+    Null, empty and wordless texts have n_shingles 0 and stand alone. A null doc_id is the least only where the whole component
+    has no other; then component_id is null and kept true. Rows that share a doc_id are rows of their own. No rows, no result rows.
+    """
     found = near_duplicates(with_row_key(docs.select("doc_id", "text"), "row"), row="row")
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, all columns, one from each component: that with the least doc_id."""
+    """The rows of `docs`, all columns, one from each component: that with the least doc_id (null last; of equal ids the first row).
+
+    Rows without words all stay. `docs` must be replayable. No rows, no result rows.
+    """
     row = free_name(docs, "dup_row")
     keyed = with_row_key(docs, row)
     kept = near_duplicates(keyed, row=row, **options).where("row = component_row").select("row")

@@ -15,7 +15,7 @@ from the sampled suffix that they lead to:
    still open goes down to single windows.
 
 So memory holds a block of text and the spans of one document, whatever the size of the corpus or of a group of copies.
-Names are 128-bit hashes of the bytes.
+Names are BLAKE2b-128 of the bytes.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.common import free_name, materialise, with_row_key
-from quarrymill.llm.hashing import _EXACT, BLOCK, mix, powers
+from quarrymill.llm.hashing import BLOCK, mix, names
 
 WINDOW = 400
 GRAM = 150
@@ -39,18 +39,31 @@ _PLACE = 24  # bits of a sort key that hold a place in a block of text
 _FIELDS = {"anchor": "long", "row": "long", "pos": "long", "near": "int", "far": "int", "a": "long", "b": "long"}
 
 
-class _Names:
-    """Two 64-bit hashes of any byte range of data."""
+_BASE = 0x9E3779B97F4A7C15 | 1
+_CODE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base, and of its inverse, modulo 2**64."""
+    with np.errstate(over="ignore"):
+        return tuple(np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(n - 1, x, _U)])) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+_POWERS = _powers(2 * BLOCK + 4096)
+
+
+class _Marks:
+    """A 64-bit hash of any byte range of data. It only chooses and gathers anchors: what is removed is decided by names."""
 
     def __init__(self, data: bytes):
-        self.raw = np.frombuffer(data, np.uint8)
-        up, self.down = powers(len(data) + 1)
+        raw = np.frombuffer(data, np.uint8)
+        up, self.down = _POWERS if len(data) < len(_POWERS[0]) else _powers(len(data) + 1)
         with np.errstate(over="ignore"):
-            self.sums = [np.concatenate([np.zeros(1, _U), np.cumsum(code[self.raw] * up[:-1], dtype=_U)]) for code in _EXACT]
+            self.sums = np.concatenate([np.zeros(1, _U), np.cumsum(_CODE[raw] * up[: len(raw)], dtype=_U)])
 
-    def of(self, start: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mix((self.sums[k][end] - self.sums[k][start]) * self.down[start] + (end - start).astype(_U)).view(np.int64)
+            return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(_U)).view(np.int64)
 
 
 def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -73,9 +86,8 @@ def _tuples(pieces: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
     """index of text, and anchor, pos, near, far, a, b of each tuple: its windows start at pos - far to pos - near."""
     data = b"".join(p[2] for p in pieces)
     n, reach = len(data), WINDOW - GRAM + 1
-    names = _Names(data)
     at = np.arange(n - GRAM + 1)
-    grams = names.of(at, at + GRAM, 0).view(_U)
+    grams = _Marks(data).of(at, at + GRAM).view(_U)
     keys = grams >> _U(_PLACE) << _U(_PLACE) | at.astype(_U)
     padded = np.full(-(-(n + reach) // reach) * reach, np.iinfo(_U).max, _U)
     padded[: len(keys)] = keys
@@ -94,7 +106,7 @@ def _tuples(pieces: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
     first, last = first[keep], last[keep]
     where, of = best[first], piece[first]
     moved = np.array([p[1] for p in pieces])[of] - begins[of]
-    return [np.array([p[0] for p in pieces])[of], grams[where].view(np.int64), where + moved, where - last, where - first, names.of(first, last + WINDOW, 0), names.of(first, last + WINDOW, 1)]
+    return [np.array([p[0] for p in pieces])[of], grams[where].view(np.int64), where + moved, where - last, where - first, *names(data[i:j] for i, j in zip(first.tolist(), (last + WINDOW).tolist(), strict=True))]
 
 
 def _sampled(docs: DataFrame) -> DataFrame:
@@ -137,15 +149,16 @@ def _split(tuples: DataFrame, cell: int) -> DataFrame:
                 row, pos, near, far, base = (part.column(i).to_numpy().astype(np.int64) for i in range(5))
                 data = part.column(5).to_pylist()
                 begin = np.cumsum([0] + [len(d) for d in data])[:-1]
-                names = _Names(b"".join(data))
+                whole = b"".join(data)
+                marks = _Marks(whole)
                 parts = far // cell - near // cell + 1
                 of = np.repeat(np.arange(len(row)), parts)
                 k = near[of] // cell + np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
                 lo, hi = np.maximum(k * cell, near[of]), np.minimum((k + 1) * cell - 1, far[of])
                 here = begin[of] + base[of]  # place of the anchor in the joined bytes
                 start, end = here - hi, here - lo + WINDOW
-                common = names.of(here - k * cell, here - (k + 1) * cell + 1 + WINDOW, 0)
-                values = (common, row[of], pos[of], lo.astype(np.int32), hi.astype(np.int32), names.of(start, end, 0), names.of(start, end, 1))
+                common = marks.of(here - k * cell, here - (k + 1) * cell + 1 + WINDOW)
+                values = (common, row[of], pos[of], lo.astype(np.int32), hi.astype(np.int32), *names(whole[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], list(_FIELDS))
 
     return tuples.select("row", "pos", "near", "far", "base", "data").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in _FIELDS.items()))
