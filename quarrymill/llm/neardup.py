@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, *, row: str, doc_id: str = "doc_id", text:
     named = materialise(joined.join(source.select("row", "doc_id").hint("merge"), "row"), "components")
     forget(base, classes, label)
     first = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
-    first = first.select("label", "component_id", F.col("first.row").alias("component_row"))
+    first = materialise(first.select("label", "component_id", F.col("first.row").alias("component_row")), "first")
     return named.join(first.hint("merge"), "label").select("row", "doc_id", "n_shingles", "component_row", "component_id")
 
 
