@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from quarrymill.llm.common import free_name, materialise, partitions, with_row_key
+from quarrymill.llm.common import forget, free_name, materialise, partitions, with_row_key
 
 MIN_WORDS = 50
 _PART = 33  # monotonically_increasing_id() holds the partition above these bits
@@ -59,9 +60,10 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "row long, pos long, a long, b long, ahead long, back long")
 
 
-def ranked(df: DataFrame, keys: list[str], ties: list[str], label: str) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], ties: list[str], label: str) -> tuple[DataFrame, DataFrame]:
     """`df` (of longs, written before) with place, its position in the order of keys and ties; rank, the place of the
-    first row with the same keys; and alone, which is true only of rows that share their keys with no other row.
+    first row with the same keys; and alone, which is true only of rows that share their keys with no other row. The second
+    result is the table that the first reads, to be forgotten with it.
 
     One range-partitioned sort. Equal keys may span partitions; what a partition begins with is
     looked up in a table of one row for each partition.
@@ -97,13 +99,14 @@ def ranked(df: DataFrame, keys: list[str], ties: list[str], label: str) -> DataF
             renamed.append((first[-1], true))
         before = (*last[:-1], true if last[-1] == first[-1] else last[-1])
     if not renamed:
-        return out
+        return out, out
     names_of = F.broadcast(spark.createDataFrame(renamed, "rank long, true_rank long"))
-    return out.join(names_of, "rank", "left").select(*names, "place", F.coalesce("true_rank", "rank").alias("rank"), "alone")
+    return out.join(names_of, "rank", "left").select(*names, "place", F.coalesce("true_rank", "rank").alias("rank"), "alone"), out
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of whole documents from rows that are sorted by the first column."""
+    """Columns of whole documents from rows that are sorted by the first column: some eight longs for each line of one document,
+    whose text Spark holds as one value anyway."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
@@ -173,18 +176,24 @@ def later_copies(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     Runs may overlap. seq must be a long and may repeat.
     """
     at = materialise(_lines(docs, min_words), "lines")
-    ranks, depth, named = ranked(at, ["a", "b"], ["row", "pos"], "ranks"), 1, None
+    (ranks, written), depth, named, runs = ranked(at, ["a", "b"], ["row", "pos"], "ranks"), 1, None, []
+    forget(at)
     while True:
         made = _deepen(ranks, depth, "runs")
+        forget(written)
+        runs.append(made)
         found = made.where("kind < 2").select("kind", "m", "a", "b", "row", "pos")
         named = found if named is None else named.unionByName(found)
         pairs = made.where("kind = 2").select("row", "pos", "a", "b", "ahead", "back")
         if pairs.isEmpty():
             break
-        ranks, depth = ranked(pairs, ["a", "b"], ["row", "pos"], "ranks"), 2 * depth
+        (ranks, written), depth = ranked(pairs, ["a", "b"], ["row", "pos"], "ranks"), 2 * depth
     order = docs.select("row", "seq")
-    named = materialise(named.join(order, "row").select("kind", "m", "a", "b", "seq", "row", "pos"), "named-runs")
-    return ranked(named, ["kind", "m", "a", "b"], ["seq", "row", "pos"], "intervals").where("place != rank").select("row", F.col("pos").alias("start"), F.col("m").alias("lines"))
+    named = materialise(named.join(order.hint("merge"), "row").select("kind", "m", "a", "b", "seq", "row", "pos"), "named-runs")
+    forget(*runs)
+    copies = ranked(named, ["kind", "m", "a", "b"], ["seq", "row", "pos"], "intervals")[0]
+    forget(named)
+    return copies.where("place != rank").select("row", F.col("pos").alias("start"), F.col("m").alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
@@ -194,14 +203,16 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, doc_id: str = "d
     in a document with a smaller doc_id (null last, then by row), or further up in the same one. Lines end at
     line feeds. Null and empty texts stay as they are; a text may become empty, its row stays. Equal rows are copies of
     the first. With `counts`, n_lines, n_removed and n_runs (maximal removed runs) are added
-    (names that the input has get underscores). `docs` must be replayable. No rows, no result rows.
+    (names that the input has get underscores). `docs` must be replayable and its doc_id an integer. No rows, no result rows.
     """
+    if not isinstance(docs.schema[doc_id].dataType, IntegralType):
+        raise TypeError(f"{doc_id} must be an integer: it says which copy is earlier")
     key, found = free_name(docs, "line_row"), free_name(docs, "line_runs")
     keyed = with_row_key(docs, key)
     seq = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
     runs = later_copies(keyed.select(F.col(key).alias("row"), seq.alias("seq"), F.col(text).alias("text")), min_words=min_words)
     runs = runs.groupBy(F.col("row").alias(key)).agg(F.collect_list(F.struct("start", "lines")).alias(found))
-    both = keyed.join(runs, key, "left").select(*docs.columns, found)
+    both = keyed.join(runs.hint("merge"), key, "left").select(*docs.columns, found)
     at, names = docs.columns.index(text), list(docs.columns)
     extra = [free_name(docs, n) for n in ("n_lines", "n_removed", "n_runs")]
 
@@ -231,7 +242,8 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, doc_id: str = "d
 
 
 def line_dedup_table(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_runs and kept_sha256 (lowercase hex, null for a null text) of every document."""
+    """doc_id, n_lines, n_removed, n_runs and kept_sha256 (lowercase hex, null for a null text) of every document; edge cases as in
+    `dedup_lines`."""
     out = dedup_lines(docs.select("doc_id", "text"), min_words=min_words, counts=True)
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 

@@ -6,7 +6,7 @@
 2. Share the words of all documents among the sources by weight. A source gives at most
    `max_repeat` times its size; what it cannot give is shared again among the others.
 3. A source gives its blocks in permuted order, whole passes first, until its target is met. The
-   last block is cut at document level, the last document at word level.
+   last block is cut at document level: each of its documents is drawn whole, or not, whichever comes nearer.
 4. How many block draws of each source go to each output shard is decided by a tree: the counts
    of a node are split between its two halves by a multivariate hypergeometric draw. Leaves hold
    exact quotas; shards draw consecutive, so disjoint, ranges of the permuted draws.
@@ -19,10 +19,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import SPACE, WORD, free_name, materialise, with_row_key
+from quarrymill.llm.common import WORD, free_name, materialise, partitions, with_row_key
 
-#: The driver holds one row of numbers for each source, and refuses more sources than this.
-MAX_SOURCES = 100_000
+#: The driver holds one row of numbers for each source, and refuses more sources than this: below it, sources have under 10**9
+#: draws of blocks in all, which is what the generator takes.
+MAX_SOURCES = 60_000
+#: Output shards, if the caller does not say.
+SHARDS = 64
 
 
 def share_targets(sizes: list[int], weights: list[float], max_repeat: float) -> list[float]:
@@ -52,8 +55,7 @@ def split_quotas(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
             return [have]
         left = k // 2
         take = int(have.sum()) * left // k
-        method = "marginals" if have.sum() < 10**9 else "count"
-        got = rng.multivariate_hypergeometric(have, take, method=method) if have.sum() else have
+        got = rng.multivariate_hypergeometric(have, take, method="marginals") if have.sum() else have
         return split(got, left) + split(have - got, k - left)
 
     return np.array(split(np.asarray(counts, dtype=np.int64), shards))
@@ -63,12 +65,12 @@ def _position(key: Column, seed: int, salt: str) -> Column:
     return F.xxhash64(key, F.lit(seed), F.lit(salt))
 
 
-def mixing_plan(docs: DataFrame, *, weights: dict | None = None, cycle: tuple[float, ...] = (1, 2, 3), max_repeat: int = 3, blocks: int = 4096, shards: int = 64, seed: int = 7, source: str = "source", text: str = "text", row: str) -> DataFrame:
+def mixing_plan(docs: DataFrame, *, weights: dict | None = None, cycle: tuple[float, ...] = (1, 2, 3), max_repeat: int = 3, blocks: int = 4096, shards: int = SHARDS, seed: int = 7, source: str = "source", text: str = "text", row: str) -> DataFrame:
     """How often each document is drawn: one row for each row of `docs`.
 
     Columns: the key `row`, size, source_size, target, taken (all in words), and draws, an array
-    of {pass, shard, words, position}; words is below size for the one document at which a
-    source's target is met.
+    of {pass, shard, words, position}. Documents are drawn whole, so a source's taken words miss its target by
+    half a document at most.
 
     Weights: `weights` by source (1 if absent), or else `cycle` over the sources in code-point
     order, null last. A null source is a source of its own. Null and empty texts have size 0
@@ -122,7 +124,7 @@ def mixing_plan(docs: DataFrame, *, weights: dict | None = None, cycle: tuple[fl
     # The documents of a cut block, one block a source, are drawn in permuted order up to the cut.
     inner = Window.partitionBy("source", "block").orderBy(F.xxhash64("row", F.lit(seed + 1)), "row").rowsBetween(Window.unboundedPreceding, -1)
     part = joined.where("cut is not null").withColumn("before", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    part = part.withColumn("last", F.greatest(F.lit(0), F.least("size", F.col("cut") - F.col("before")))).drop("before")
+    part = part.withColumn("last", F.when(2 * F.col("before") + F.col("size") <= 2 * F.col("cut"), F.col("size")).otherwise(0)).drop("before")
     whole = joined.where("cut is null").withColumn("last", F.col("size"))
     both = whole.unionByName(part)
     draws = F.transform("given", lambda g: F.struct(g["pass"].alias("pass"), g["shard"].alias("shard"), F.when(g["cut"].isNull(), F.col("size")).otherwise(F.col("last")).alias("words"), F.xxhash64("row", g["pass"], F.lit(seed + 2)).alias("position")))
@@ -131,24 +133,30 @@ def mixing_plan(docs: DataFrame, *, weights: dict | None = None, cycle: tuple[fl
 
 
 def mix(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
-    """The mixture itself: a row of `docs` for each draw, with mix_shard and mix_position.
+    """The mixture itself: a row of `docs`, whole, for each draw, with mix_shard and mix_position (underscores are added where `docs`
+    has such columns). Documents without words are never drawn; edge cases as in `mixing_plan`.
 
-    A document at which a source's target is met is cut after its first words. Rows are ordered
-    by position inside a shard once written with `repartition("mix_shard")`.
+    Rows are in their shard's order once sorted by position.
     """
     row = free_name(docs, "mix_row")
     keyed = with_row_key(docs, row)
-    plan = mixing_plan(keyed, text=text, row=row, **options).where("taken > 0").select(F.col(row).alias("_key"), "size", F.explode("draws").alias("draw"))
-    names = {n: free_name(docs, n) for n in ("mix_shard", "mix_position")}
-    out = keyed.join(plan, keyed[row] == plan["_key"])
-    first_words = F.expr(f"array_join(slice(filter(split(`{text}`, '{SPACE.replace(chr(92), chr(92) * 2)}'), w -> w != ''), 1, cast(draw.words as int)), ' ')")
-    texts = F.when(F.col("draw.words") < F.col("size"), first_words).otherwise(F.col(text))
-    return out.select(*[texts.alias(c) if c == text else keyed[c] for c in docs.columns], F.col("draw.shard").alias(names["mix_shard"]), F.col("draw.position").alias(names["mix_position"]))
+    names = [free_name(docs, n) for n in ("mix_shard", "mix_position")]
+    plan = mixing_plan(keyed, text=text, row=row, **options).where("taken > 0").select(row, F.explode("draws").alias("draw"))
+    plan = plan.select(row, *[F.col(f"draw.{k}").alias(n) for k, n in zip(("shard", "position"), names, strict=True)])
+    return keyed.join(plan.hint("merge"), row).select(*docs.columns, *names)
+
+
+def deal(drawn: DataFrame, shard: str = "mix_shard", position: str = "mix_position") -> DataFrame:
+    """The rows of `mix`, each shard in its own order. A shard spreads over as many tasks as the session's shuffle partitions allow."""
+    n = partitions(drawn.sparkSession)
+    salts = F.lit(-(-n // SHARDS))
+    return drawn.repartition(n, shard, F.pmod(position, salts)).sortWithinPartitions(shard, position)
 
 
 def mixture_table(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row of `docs` (see mixing_plan)."""
+    """doc_id, size, source_size, target and taken of every row of `docs`, and where the mix puts it: shards and positions, one of
+    each for each draw (see mixing_plan)."""
     keyed = with_row_key(docs.select("doc_id", "source", "text"), "row")
-    plan = mixing_plan(keyed, row="row", **options).select(F.col("row").alias("_key"), "size", "source_size", "target", "taken")
-    ids = keyed.select("row", "doc_id")
-    return ids.join(plan, ids["row"] == plan["_key"]).select("doc_id", "size", "source_size", "target", "taken")
+    plan = mixing_plan(keyed, row="row", **options)
+    plan = plan.select("row", "size", "source_size", "target", "taken", F.col("draws.shard").alias("shards"), F.col("draws.position").alias("positions"))
+    return keyed.select("row", "doc_id").join(plan.hint("merge"), "row").drop("row")

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 pytest.importorskip("quarrymill.llm")
@@ -186,5 +187,31 @@ def test_mixing(docs, texts):
     for r in got:
         i = r["doc_id"]
         per.setdefault((None if i % 7 == 0 else i % 3, r["target"]), []).append(r["taken"])
-    assert abs(sum(t for _, t in per) - total) < 1e-6 and all(abs(sum(v) - t) <= 1 for (_, t), v in per.items())
+    assert abs(sum(t for _, t in per) - total) < 1e-6 and all(abs(sum(v) - t) <= 1 + max(v) / 2 for (_, t), v in per.items())
+    # Draws: whole documents, a shard and a position each; shards get equal shares of the blocks drawn.
+    assert all(r["taken"] == r["size"] * len(r["shards"]) == r["size"] * len(r["positions"]) for r in got)
+    clash = docs.withColumns({c: F.lit(-1) for c in ("size", "_key", "draw", "mix_shard", "words", "target", "block")})
+    mixed = mixing.mix(clash).collect()
+    assert len(mixed) == sum(len(r["shards"]) for r in got) and all(r["text"] == texts[r["doc_id"]] and r["mix_shard"] == -1 for r in mixed)
+    assert sorted((r["doc_id"], r["mix_shard_"], r["mix_position"]) for r in mixed) == sorted((r["doc_id"], *x) for r in got for x in zip(r["shards"], r["positions"]))
+    dealt = mixing.deal(mixing.mix(docs)).rdd.glom().collect()
+    assert all(p == sorted(p, key=lambda r: (r["mix_shard"], r["mix_position"])) for p in dealt)
+
+
+def test_splitting_tree_draws_without_return():
+    counts = np.array([7, 0, 40, 300, 1])
+    quota = mixing.split_quotas(counts, 8, 3)
+    assert quota.shape == (8, 5) and (quota >= 0).all() and (quota.sum(0) == counts).all()
+    assert quota.sum(1).max() - quota.sum(1).min() <= 1 and (quota == mixing.split_quotas(counts, 8, 3)).all()
+    # The mean of a node's share over seeds is that of the multivariate hypergeometric law.
+    mean = np.mean([mixing.split_quotas(counts, 8, s)[0] for s in range(400)], 0)
+    assert np.abs(mean - counts / 8).max() < 0.6
+
+
+def test_targets_by_hand():
+    assert mixing.share_targets([100, 100, 100], [1, 2, 3], 3) == [50, 100, 150]
+    assert mixing.share_targets([10, 1000, 990], [6, 1, 1], 3) == [30, 985, 985] and mixing.share_targets([], [], 3) == []
+
+
+def test_mixing_empty(docs):
     assert mixing.mixture_table(docs.limit(0)).count() == 0
