@@ -10,31 +10,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm import linededup, mixing, neardup, packing, toxicity
-from quarrymill.llm.common import materialise, table
+from quarrymill.llm.common import forget, materialise, table
 from quarrymill.llm.queries import vocabulary
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score below the threshold. Null and empty texts stay, and so do all rows where there are no labels; no rows, no result."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the runs that an earlier document has; n_chars follows. Rows all stay."""
+    """Texts lose the runs that an earlier document has; n_chars follows. Rows all stay; null texts stay null, with null n_chars."""
     return linededup.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the least doc_id (null last) of each group. Rows without words are alike to none and stay."""
     return neardup.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each draw, dealt to shards and shuffled in them; n_chars follows where a text was cut."""
-    drawn = mixing.mix(docs).repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_position")
-    return drawn.select(*docs.columns).withColumn("n_chars", F.char_length("text").cast("long"))
+    """A row, whole, for each draw, dealt to shards and shuffled in them. Documents without words are not drawn."""
+    return mixing.deal(mixing.mix(docs)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket."""
+    """A row for each piece of each drawn row, null and empty texts included: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket."""
     pieces = packing.pack_documents(docs, vocabulary())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
@@ -51,7 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(*before)
+        before = [docs]
     return docs
