@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import html as entities
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+
+
+def _accented() -> tuple[str, str]:
+    """The letters of the Latin blocks that decompose to an ASCII letter and marks, and those letters."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isascii() and all(map(unicodedata.combining, d[1:]))]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
 
-_FROM = "áàâãäåéèêëíìîïóòôõöúùûüçñýÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
-_TO = "aaaaaaeeeeiiiiooooouuuucnyAAAAAAEEEEIIIIOOOOOUUUUCNY"
+_FROM, _TO = _accented()
 
 
 def fold(text: Column) -> Column:
-    """Accents off, lower case; null stays null."""
-    return F.lower(F.translate(text, _FROM, _TO))
+    """Accents off, composed or as marks of their own, lower case; null stays null."""
+    return F.lower(F.regexp_replace(F.translate(text, _FROM, _TO), "[\u0300-\u036f]", ""))
 
 
 def clean(text: Column) -> Column:
@@ -20,8 +33,15 @@ def clean(text: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    """Folded, with runs of other characters as one hyphen."""
-    return F.regexp_replace(F.regexp_replace(fold(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """Folded, runs of other characters as one underscore; empty under two characters, cut at forty."""
+    out = F.btrim(F.regexp_replace(fold(clean(F.coalesce(text, F.lit("")))), "[^a-z0-9]+", "_"), F.lit("_"))
+    return F.when(F.char_length(out) < 2, "").otherwise(F.substring(out, 1, 40))
+
+
+def tags(values: list[Column], most: int = 16) -> Column:
+    """Distinct slugs of the parts (between semicolons and pipes) of all values, in order."""
+    parts = F.flatten(F.array(*[F.split(clean(F.coalesce(v, F.lit(""))), "[;|]+") for v in values]))
+    return F.slice(F.array_distinct(F.filter(F.transform(parts, slug), lambda t: t != "")), 1, most)
 
 
 def tokens(text: Column, least: int = 1) -> Column:
@@ -29,23 +49,47 @@ def tokens(text: Column, least: int = 1) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(f"[a-z0-9]{{{least},}}"), F.lit(0))
 
 
-def mask_personal(text: Column) -> Column:
-    """Mail addresses, then numbers of tax and phone shape, masked."""
-    out = F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]")
-    out = F.regexp_replace(out, r"[0-9]{3}[.-]?[0-9]{3}[.-]?[0-9]{3}[.-][0-9]{2}", "[ID]")
-    return F.regexp_replace(out, r"\+?[0-9][0-9 ()-]{7,}[0-9]", "[PHONE]")
+#: Word boundaries as ASCII knows them, whatever the engine's.
+_EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+
+
+def ascii_edges(pattern: str) -> str:
+    return pattern.replace(r"\b", _EDGE)
+
+
+#: Personal numbers in the order in which they are masked.
+PERSONAL = (
+    (r"\b[0-9]{3}\.?[0-9]{3}\.?[0-9]{3}-?[0-9]{2}\b", "[CPF]"),
+    (r"\b[0-9]{3}[. ]?[0-9]{3}[. ]?[0-9]{3}[-. ]?[0-9]\b", "[NB]"),
+    (r"\b[0-9]{7}-[0-9]{2}\.[0-9]{4}\.[0-9]\.[0-9]{2}\.[0-9]{4}\b", "[PROCESSO]"),
+    (r"\b[0-9]{4}\.[0-9]{2}\.[0-9]{6}-[0-9]\b", "[PROCESSO]"),
+    (r"\b[0-9]{1,2}\.?[0-9]{3}\.?[0-9]{3}-?[0-9Xx]\b", "[RG]"),
+)
+
+
+def mask_personal(text: Column, most: int = 120) -> Column:
+    """Personal numbers masked, cut to a snippet, then trimmed. `most` is the length of a stored snippet."""
+    for pattern, name in PERSONAL:
+        text = F.regexp_replace(text, ascii_edges(pattern), name)
+    return F.btrim(F.substring(text, 1, most), F.lit(" \t\n\r"))
+
+
+def _unescape(text: Column) -> Column:
+    """All named and numeric entities: Spark has no function for them, so texts go through Arrow batches."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(entities.unescape)
+
+    return F.pandas_udf(run, StringType())(text)
 
 
 def html_to_text(html: Column) -> Column:
-    """Scripts, styles and comments dropped, list items as "- ", block ends as line feeds, tags off, entities decoded."""
-    out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"(?i)<li[^>]*>", "\n- ")
-    out = F.regexp_replace(out, r"(?i)<br[^>]*>|</(p|div|h[1-6]|tr|li|ul|ol|table|section|article)>", "\n")
-    out = F.regexp_replace(out, r"<[^>]*>", " ")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    out = F.regexp_replace(out, r"[ \t\r]+", " ")
-    return F.trim(F.regexp_replace(out, r" ?\n[ \n]*", "\n"))
+    """Entities decoded, line breaks and block ends as line feeds, list items as "- ", other tags off, at most one blank line."""
+    out = F.replace(F.replace(F.coalesce(html, F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    out = _unescape(out)
+    for pattern, to in ((r"(?i)<br\s*/?>", "\n"), (r"(?i)</(p|div|li|tr|h[0-9]|section|article)>", "\n"), (r"(?i)<li[^>]*>", "- "), (r"<[^>]+>", ""), (r"\n{3,}", "\n\n")):
+        out = F.regexp_replace(out, pattern, to)
+    return F.btrim(out, F.lit(" \t\n\r\f\x0b"))
 
 
 def links(html: Column) -> Column:
@@ -53,15 +97,68 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit("href=\"([^\"]*)\""), F.lit(1))
 
 
-def normal_url(url: Column) -> Column:
-    """Lower-cased, without scheme, leading www, fragment, query and closing slashes."""
-    out = F.regexp_replace(F.lower(F.trim(url)), r"^[a-z]+://", "")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"^www\.", ""), r"[?#].*$", ""), r"/+$", "")
+def absolute_url(url: Column, base: str) -> Column:
+    """Scheme-relative links get https, rooted and relative ones the base; other schemes, and empty ones, stay."""
+    value, root = clean(F.coalesce(url, F.lit(""))), base.rstrip("/")
+    return (
+        F.when(value == "", "").when(value.startswith("//"), F.concat(F.lit("https:"), value)).when(value.rlike("(?i)^https?://"), value)
+        .when(value.startswith("/"), F.concat(F.lit(root), value)).when(~value.rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.concat(F.lit(root + "/"), value)).otherwise(value)
+    )
+
+
+def iso_date(text: Column) -> Column:
+    """yyyy-mm-dd from that form or day/month/year, one digit or two; empty where neither fits. Ranges are not checked."""
+    value = clean(F.coalesce(text, F.lit("")))
+    part = lambda k: F.regexp_extract(value, "^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", k)
+    return F.when(value.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), value).when(part(3) != "", F.concat_ws("-", part(3), F.lpad(part(2), 2, "0"), F.lpad(part(1), 2, "0"))).otherwise("")
+
+
+def year_of(text: Column) -> Column:
+    """The year of a date, else the first 20xx that stands alone, else null."""
+    found = F.regexp_extract(F.coalesce(text, F.lit("")), ascii_edges(r"\b(20[0-9]{2})\b"), 1)
+    return F.coalesce(F.substring(iso_date(text), 1, 4).try_cast("int"), found.try_cast("int"))
+
+
+MONTHS = ("janeiro", "fevereiro", "marco", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro")
+
+
+def long_date(text: Column) -> Column:
+    """yyyy-mm-dd from "12 de marco de 2020", accents or not; null where there is none."""
+    found = lambda k: F.regexp_extract(fold(text), "([0-9]{1,2}) de ([a-z]+) de ([0-9]{4})", k)
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), found(2)).cast("string")
+    return F.when(month != "0", F.concat_ws("-", found(3), F.lpad(month, 2, "0"), F.lpad(found(1), 2, "0")))
+
+
+def first_match(text: Column, patterns: list[tuple[str, str]], default: str | None) -> Column:
+    """The name of the first pattern that is found."""
+    out = F.when(text.rlike(ascii_edges(patterns[0][0])), patterns[0][1])
+    for pattern, name in patterns[1:]:
+        out = out.when(text.rlike(ascii_edges(pattern)), name)
+    return out.otherwise(F.lit(default))
+
+
+def occurrences(text: Column, phrase: str) -> Column:
+    """How often a phrase occurs without overlap."""
+    return ((F.char_length(text) - F.char_length(F.replace(text, F.lit(phrase), F.lit("")))) / len(phrase)).cast("int")
+
+
+def fnv1a(text: Column) -> Column:
+    """The 32-bit FNV-1a hash over code points, as a long."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * 16777619).bitwiseAND(F.lit(4294967295)))
+
+
+def clamp01(text: Column) -> Column:
+    """A number within 0 and 1; what is no number is 0."""
+    return F.least(F.greatest(F.coalesce(text.try_cast("double"), F.lit(0e0)), F.lit(0e0)), F.lit(1e0))
 
 
-def tolerant_date(text: Column) -> Column:
-    """A date from day/month/year, ISO, or compact digits; null where none fits."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in ("yyyy-MM-dd", "dd/MM/yyyy", "yyyyMMdd")])
+def tiered(n: Column, steps: list[int], shares: list[float], most: int) -> Column:
+    """A share of `most`, rounded, by the largest step that n reaches."""
+    out = F.lit(0)
+    for step, part in zip(steps, shares, strict=True):
+        out = F.when(n >= step, int(most * part + 0.5)).otherwise(out)
+    return out
 
 
 def law_references(text: Column) -> Column:

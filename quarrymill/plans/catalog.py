@@ -126,11 +126,12 @@ def hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "source_merge_dedupe",
-    "WITH h AS (SELECT lower(left(text, 60)) AS name, source, min(doc_id) AS f, count(*) AS n FROM documents GROUP BY ALL) "
+    "WITH h AS (SELECT md5(lower(text)) AS name, source, min(doc_id) AS f, count(*) AS n FROM documents GROUP BY ALL) "
     "SELECT name, min(f) AS doc_id, string_agg(source, ' + ' ORDER BY f, source) AS origins, sum(n)::BIGINT AS n_hits FROM h GROUP BY name",
 )
 def source_merge_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    return search.merge_sources(read(spark, sf, "documents"), F.lower(F.substring("text", 1, 60)))
+    """Hits are one work if their whole lower-cased texts are equal."""
+    return search.merge_sources(read(spark, sf, "documents"), F.md5(F.encode(F.lower("text"), "UTF-8")))
 
 
 @query(
@@ -169,60 +170,17 @@ def clean_text(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", F.md5(F.encode(T.clean(F.col("text")), "UTF-8")).alias("cleaned"))
 
 
-@query("slug_tags", "SELECT doc_id, regexp_replace(regexp_replace(lower(strip_accents(left(text, 80))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
-def slug_tags(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", T.slug(F.substring("text", 1, 80)).alias("slug"))
-
-
-@query(
-    "pii_mask",
-    "WITH a AS (SELECT doc_id, text, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g') AS t FROM documents), "
-    "b AS (SELECT doc_id, text, regexp_replace(t, '[0-9]{3}[.-]?[0-9]{3}[.-]?[0-9]{3}[.-][0-9]{2}', '[ID]', 'g') AS t FROM a), "
-    "c AS (SELECT doc_id, text, regexp_replace(t, '\\+?[0-9][0-9 ()-]{7,}[0-9]', '[PHONE]', 'g') AS t FROM b) SELECT doc_id, md5(t) AS masked, t <> text AS changed FROM c",
-)
-def pii_mask(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", "text", T.mask_personal(F.col("text")).alias("t")).select("doc_id", F.md5(F.encode("t", "UTF-8")).alias("masked"), (F.col("t") != F.col("text")).alias("changed"))
-
-
 @query("law_refs", "WITH r AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(" + FOLD.format("text") + ", '(?:art\\.?|lei|version|section|no\\.?) ?[0-9]+(?:\\.[0-9]+)*'))) AS ref FROM documents) SELECT ref, count(*) AS n_docs, min(doc_id) AS first_doc FROM r GROUP BY ref")
 def law_refs(spark: SparkSession, sf: str) -> DataFrame:
     refs = read(spark, sf, "documents").select("doc_id", F.explode(T.law_references(F.col("text"))).alias("ref"))
     return refs.groupBy("ref").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
-_HTML = "coalesce(html, '')"
-for _p, _r in ((r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "' '"), (r"(?i)<li[^>]*>", "chr(10) || '- '"), (r"(?i)<br[^>]*>|</(p|div|h[1-6]|tr|li|ul|ol|table|section|article)>", "chr(10)"), ("<[^>]*>", "' '")):
-    _HTML = f"regexp_replace({_HTML}, '{_p}', {_r}, 'g')"
-for _p, _r in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
-    _HTML = f"replace({_HTML}, '{_p}', {_r})"
-
-
-@query("html_to_text", f"SELECT page_id, md5(trim(regexp_replace(regexp_replace({_HTML}, '[ \\t\\r]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'))) AS text_md5 FROM pages")
-def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "pages").select("page_id", F.md5(F.encode(T.html_to_text(F.col("html")), "UTF-8")).alias("text_md5"))
-
-
 @query("link_extract", "SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), 'href=\"([^\"]*)\"', 1)) AS link FROM pages")
 def link_extract(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "pages").select("page_id", F.explode(T.links(F.col("html"))).alias("link"))
 
 
-@query("url_normalize", "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z]+://', ''), '^www\\.', ''), '[?#].*$', ''), '/+$', '') AS url FROM pages")
-def url_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "pages").select("page_id", T.normal_url(F.col("url")).alias("url"))
-
-
-_RAW_DATE = "CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 2 THEN strftime(o_orderdate, '%Y%m%d') ELSE 'unknown' END"
-
-
-@query("date_parse", f"SELECT o_orderkey, {_RAW_DATE} AS raw, CASE WHEN o_orderkey % 4 < 3 THEN o_orderdate::DATE::VARCHAR END AS day FROM orders")
-def date_parse(spark: SparkSession, sf: str) -> DataFrame:
-    d = F.col("o_orderdate")
-    m = F.col("o_orderkey") % 4
-    raw = F.when(m == 0, F.date_format(d, "yyyy-MM-dd")).when(m == 1, F.date_format(d, "dd/MM/yyyy")).when(m == 2, F.date_format(d, "yyyyMMdd")).otherwise("unknown")
-    return read(spark, sf, "orders").select("o_orderkey", raw.alias("raw")).withColumn("day", T.tolerant_date(F.col("raw")).cast("string"))
-
-
 @query(
     "line_sections",
     "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL), "
@@ -361,12 +319,6 @@ def finding_quality(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.finding_quality(_findings(spark, sf))
 
 
-@query("confidence_bands", f"WITH f AS ({_FINDINGS}) SELECT CASE WHEN round(confidence, 6) < 0.8 THEN 'low' WHEN round(confidence, 6) < 0.9 THEN 'mid' ELSE 'high' END AS band, count(*) AS n, round(avg(useful), 6) AS useful FROM f GROUP BY 1")
-def confidence_bands(spark: SparkSession, sf: str) -> DataFrame:
-    c = F.round("confidence", 6)
-    return _findings(spark, sf).groupBy(F.when(c < 0.8, "low").when(c < 0.9, "mid").otherwise("high").alias("band")).agg(F.count("*").alias("n"), F.round(F.avg("useful"), 6).alias("useful"))
-
-
 _CASES = "SELECT d.doc_id, lang, source, toxic AS expected, regexp_matches(lower(text), 'idiot|moron|scum|loser')::INT AS predicted FROM labels l JOIN documents d ON l.doc_id = d.doc_id"
 _SLICES = f"WITH c AS ({_CASES}), x AS (SELECT expected, predicted, unnest(['ALL', 'lang', 'source']) AS dim, unnest(['ALL', lang, source]) AS value FROM c), s AS (SELECT dim, value, count(*) FILTER (expected = 1 AND predicted = 1) AS tp, count(*) FILTER (expected = 0 AND predicted = 1) AS fp, count(*) FILTER (expected = 1 AND predicted = 0) AS fn FROM x GROUP BY ALL), r AS (SELECT *, CASE WHEN tp + fp = 0 THEN CASE WHEN fn = 0 THEN 1e0 ELSE 0e0 END ELSE tp::DOUBLE / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 1e0 ELSE tp::DOUBLE / (tp + fn) END AS r FROM s) "
 
@@ -381,15 +333,6 @@ def metrics_slices(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.metrics_slices(_cases(spark, sf), ["lang", "source"])
 
 
-@query("provider_ranking", _SLICES + "SELECT value, round(0.6e0 * CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END + 0.4e0 * p, 6) AS composite FROM r WHERE dim = 'source'")
-def provider_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    p, r = F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1)), F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))
-    p = F.when(F.col("tp") + F.col("fp") == 0, F.when(F.col("fn") == 0, 1e0).otherwise(0e0)).otherwise(p)
-    r = F.when(F.col("tp") + F.col("fn") == 0, 1e0).otherwise(r)
-    f1 = F.when(p + r == 0, 0e0).otherwise(2 * p * r / F.greatest(p + r, F.lit(1e-300)))
-    return analytics.metrics_slices(_cases(spark, sf), ["lang", "source"]).where("dim = 'source'").select("value", F.round(0.6 * f1 + 0.4 * p, 6).alias("composite"))
-
-
 @query("validity_pearson", f"WITH c AS ({_CASES}) SELECT count(*) AS n, round(coalesce(corr(expected, predicted), 0), 6) AS r FROM c")
 def validity_pearson(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.pearson(_cases(spark, sf), "expected", "predicted")
@@ -434,12 +377,13 @@ def stale_rows(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "orders").select("o_orderkey").join(sums, "o_orderkey", "left").where("total is null or total > 150").select("o_orderkey", F.col("total").isNull().alias("absent"))
 
 
-_UPSERT = "WITH s AS (SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey AS id, o_totalprice * 2 AS price FROM orders WHERE o_orderkey % 2 = 0) "
+_UPSERT = "WITH s AS (SELECT o_orderkey AS id, o_totalprice AS price FROM orders), n AS (SELECT o_orderkey + CASE o_orderpriority WHEN '1-URGENT' THEN 1000000000 ELSE 0 END AS id, o_totalprice * 2 AS price FROM orders WHERE o_orderstatus = 'O') "
 
 
 def _upsert_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All orders as stored; the open ones as changes, the urgent of them under new ids."""
     o = read(spark, sf, "orders")
-    return o.where("o_orderkey % 3 <> 0").selectExpr("o_orderkey as id", "o_totalprice as price"), o.where("o_orderkey % 2 = 0").selectExpr("o_orderkey as id", "o_totalprice * 2 as price")
+    return o.selectExpr("o_orderkey as id", "o_totalprice as price"), o.where("o_orderstatus = 'O'").selectExpr("o_orderkey + if(o_orderpriority = '1-URGENT', 1000000000, 0) as id", "o_totalprice * 2 as price")
 
 
 @query("upsert_result", _UPSERT + "SELECT coalesce(n.id, s.id) AS id, coalesce(n.price, s.price) AS price, CASE WHEN n.id IS NULL THEN 'kept' WHEN s.id IS NULL THEN 'inserted' ELSE 'updated' END AS action FROM s FULL JOIN n ON s.id = n.id")

@@ -11,10 +11,14 @@ from quarrymill.streaming.events import event_windows, stream_to_table
 def test_text_functions(spark):
     row = spark.range(1).select(
         T.fold(F.lit("Órgão")).alias("fold"), T.clean(F.lit(" a   b\n")).alias("clean"), T.slug(F.lit("Ação nº 1")).alias("slug"), T.tokens(F.lit(None).cast("string")).alias("none"),
-        T.mask_personal(F.lit("a@b.co 123.456.789-00")).alias("masked"), T.html_to_text(F.lit("<script>x</p></script><li>a</li>&amp;")).alias("html"), T.tolerant_date(F.lit("31/12/2020")).cast("string").alias("d"), T.tolerant_date(F.lit("x")).alias("bad"),
+        T.mask_personal(F.lit(" cpf 123.456.789-09, rg 1.234.567-x, autos 0001234-56.2020.4.03.6100 e 2001.61.000123-4" + " z" * 90)).alias("masked"), T.html_to_text(F.lit("<li>a</li>&amp;&eacute;&#233;&lt;b&gt;<br/>\n\n\nz")).alias("html"),
+        T.iso_date(F.lit("1/2/2020")).alias("d"), T.iso_date(F.lit("99/77/2020")).alias("odd"), T.iso_date(F.lit("x")).alias("bad"), T.year_of(F.lit("em 2014")).alias("year"), T.long_date(F.lit("12 de Março de 2020")).alias("long"), T.fold(F.lit("Łódź ő é")).alias("fold2"),
+        T.slug(F.lit("é")).alias("short"), T.slug(F.lit("ab " * 40)).alias("cut"), T.absolute_url(F.lit("a/b"), "https://x/").alias("relative"), T.fnv1a(F.lit("a")).alias("fnv"), T.clamp01(F.lit("nan?")).alias("clamped"), T.tiered(F.lit(6), [1, 3, 5, 8], [0.25, 0.5, 0.75, 1], 20).alias("tier"),
     ).first()
-    assert (row["fold"], row["clean"], row["slug"], row["none"]) == ("orgao", "a b", "acao-n-1", [])
-    assert (row["masked"], row["html"], row["d"], row["bad"]) == ("[EMAIL] [ID]", "\n- a\n&", "2020-12-31", None)
+    assert (row["fold"], row["clean"], row["slug"], row["none"]) == ("orgao", "a b", "acao_n_1", [])
+    assert row["masked"].startswith("cpf [CPF], rg [RG], autos [PROCESSO] e [PROCESSO] z") and len(row["masked"]) <= 120
+    assert row["html"] == "- a\n&éé\n\nz" and (row["d"], row["odd"], row["bad"], row["year"], row["long"]) == ("2020-02-01", "2020-77-99", "", 2014, "2020-03-12")
+    assert (row["fold2"], row["short"], row["relative"], row["fnv"], row["clamped"], row["tier"]) == ("łodz o e", "", "https://x/a/b", 3826002220, 0.0, 15) and len(row["cut"]) == 40
 
 
 def test_bm25_of_nulls_and_no_rows(spark):
