@@ -97,12 +97,13 @@ def neighbour_fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     all) of the next document in ascending order of id (null ids last, equal ids by text, null
     text as empty); after the last comes the first. Alone, a document follows itself.
 
-    The order is made of ranges of ids, as many as there are shuffle partitions, so that one
-    window over a range holds the next text; a small table adds what follows each range.
+    The order is made of ranges of ids, eight for each shuffle partition, so that the rows of one
+    window, and what hashing deals to one task, stay small; a small table adds what follows each range.
+    No documents, no rows.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ranges = min(1 << 14, partitions(spark, 2))
+    ranges = min(1 << 14, partitions(spark, 8))
     bounds = base.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else None
     base = base.withColumn("range", _bucket(F.col("doc_id"), sorted(set(bounds or []))))
 

@@ -27,8 +27,9 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_dir(spark, "archive")
-    warc.write_archive(table(spark, sf_dir, "pages"), root)
-    return warc.read_archive(spark, root, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    pages = table(spark, sf_dir, "pages")
+    warc.write_archive(pages, root)
+    return warc.lookup(spark, root, warc.keys_of(pages), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 A ledger under a root URI holds, for each committed batch, signed rows of two tables:
 `documents` (per document and tokenizer version: +1 with its new count, -1 with the one it had) and
 `totals` (their sums by source, language and version). Totals of the corpus are sums of the second table, so
-a batch costs what its changes cost, never a recount.
+a batch tokenises what it changes, and reads of the first table what its ids have; nothing is counted again.
 
 A batch writes its rows first and its commit mark last. Only marked batches are read, and a
 batch that is committed again changes nothing, so a job that died can just be repeated. One writer at a time;
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import WORD, free_name, table_exists
+from quarrymill.llm.common import WORD, materialise, table_exists, with_row_key
 
 KEYS = ["source", "lang", "tokenizer_version"]
 _DOCUMENTS = "doc_id long, source string, lang string, tokenizer_version string, documents long, tokens long"
@@ -74,7 +74,10 @@ class TokenLedger:
 
     def state(self, upto: int | None = None) -> DataFrame:
         """doc_id, source, lang, tokenizer_version, documents, tokens: what counts now, or as of a batch."""
-        rows = self._read("documents", _DOCUMENTS, upto)
+        return self._net(self._read("documents", _DOCUMENTS, upto))
+
+    @staticmethod
+    def _net(rows: DataFrame) -> DataFrame:
         return rows.groupBy("doc_id", *KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where("documents <> 0 or tokens <> 0")
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
@@ -97,8 +100,9 @@ class TokenLedger:
         signed = self._counted(rows.where("op <> 'delete'").select("doc_id", "source", "lang", "text"))
         if done:
             gone = rows.where("op <> 'insert'").select(F.col("doc_id").alias("gone")).distinct()
-            old = self.state()
-            old = old.join(gone, old["doc_id"].eqNullSafe(gone["gone"]), "left_semi")
+            old = self._read("documents", _DOCUMENTS, None)
+            # Only what the named ids have is summed.
+            old = self._net(old.join(gone.hint("merge"), old["doc_id"].eqNullSafe(gone["gone"]), "left_semi"))
             signed = signed.unionByName(old.withColumns({"documents": -F.col("documents"), "tokens": -F.col("tokens")}))
         path = f"{self.root}/documents/{batch}"
         signed.write.mode("overwrite").option("compression", "zstd").parquet(path)
@@ -114,18 +118,35 @@ class TokenLedger:
 
 
 def withdrawn_copies(docs: DataFrame) -> DataFrame:
-    """Changes that delete every document whose text an earlier one (by doc_id) has; null texts are equal to each other."""
-    name = free_name(docs, "text_hash")
-    keyed = docs.select("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias(name))
-    first = keyed.groupBy(name).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    late = keyed.join(first, name).where("doc_id > first").select("doc_id")
+    """Changes that take back every document whose text an earlier one has (by doc_id, null last; of equal ids the first row).
+
+    Null and empty texts are equal. Where only some of the rows of an id are copies, the others are revised, that is, counted again.
+    `docs` must be replayable.
+    """
+    keyed = with_row_key(docs.select("doc_id", "source", "lang", "text"), "row")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    hashed = materialise(keyed.select("doc_id", "row", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text_hash")), "text-hashes")
+    first = hashed.groupBy("text_hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Written, so that both sides of the join are exchanged and a text that a third of the rows share can be split.
+    first = materialise(first.select("text_hash", F.col("first.row").alias("first_row")), "first-copies")
+    late = hashed.join(first.hint("merge"), "text_hash").where("row <> first_row").select("doc_id", "row")
+    late = materialise(late, "late-copies")
+    ids = late.groupBy("doc_id").agg(F.count("*").alias("n_late"))
+    all_of = hashed.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n_rows"))
+    mixed = materialise(ids.join(all_of.hint("merge"), ids["doc_id"].eqNullSafe(all_of["id"])).where("n_late < n_rows").select("id"), "mixed-ids")
     nothing = [F.lit(None).cast("string").alias(c) for c in ("source", "lang", "text")]
-    return late.select(F.lit("delete").alias("op"), "doc_id", *nothing)
+    changes = late.select(F.lit("delete").alias("op"), "doc_id", *nothing)
+    if mixed.isEmpty():
+        return changes
+    rest = keyed.join(mixed.hint("merge"), keyed["doc_id"].eqNullSafe(mixed["id"]), "left_semi").join(late.select("row").hint("merge"), "row", "left_anti")
+    return changes.unionByName(rest.select(F.lit("revise").alias("op"), "doc_id", "source", "lang", "text"))
 
 
 def token_count_table(docs: DataFrame, root: str, vocabularies: Mapping[str, str | None]) -> DataFrame:
     """Totals of all documents, and of those that remain once exact copies are withdrawn, kept as two batches.
 
+    Null sources and languages are groups; null and empty texts are documents without tokens; without documents there is no row.
+
     source, lang, tokenizer_version, documents, tokens, distinct_documents, distinct_tokens.
     """
     ledger = TokenLedger(docs.sparkSession, root, vocabularies)

@@ -2,9 +2,10 @@
 
 Records go to gzip-per-record WARC files, one file or more a task. Their captures, keyed by the
 URL with its host reversed, are range-partitioned and sorted; each task writes its run as gzip
-blocks of some thousand lines (the first level). A Parquet table holds the first key and the place
-of each block (the second level). A look-up finds its blocks by a pushed-down comparison, then
-bisects the lines of a block, then reads the byte range of the record.
+blocks of some thousand lines (the first level). A Parquet table, sorted alike, holds the first key and the place
+of each block (the second level). A look-up sorts the wanted keys among the first keys, which gives each its blocks,
+then bisects the lines of a block, then reads the byte ranges of the records. All of it runs in tasks, over any number
+of keys; what a key has many captures of is spread by blocks.
 
 Layout under a root: warc/*.warc.gz, index/*.cdx.gz, captures/ and directory/ (Parquet). Files are
 written under names that no other attempt uses, and only files named by `captures` or
@@ -23,7 +24,7 @@ from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrymill.llm.common import materialise, partitions, with_row_key
@@ -31,7 +32,6 @@ from quarrymill.llm.common import materialise, partitions, with_row_key
 BLOCK_LINES = 3000
 FILE_BYTES = 512 << 20
 READ_BYTES = 64 << 20
-SALTS = 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -106,11 +106,11 @@ def write_archive(pages: DataFrame, root: str, *, page_id: str = "page_id", url:
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
     small = materialise(rows.where(F.col("size") >= least_revisit).select("row", "page_id", "digest"), "warc-digests")
     first = small.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first")).where("n > 1")
-    # A payload may be shared by a third of the pages: its rows are spread over salts.
-    first = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    again = small.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(first, ["digest", "salt"]).where("row != first.row")
+    # Written, so that both sides of the join are exchanged and a payload that a third of the pages share can be split.
+    first = materialise(first.select("digest", "first"), "warc-first")
+    again = small.join(first.hint("merge"), "digest").where("row != first.row")
     again = again.select(F.col("row").alias("again"), F.col("first.row").alias("first_row"), F.col("first.page_id").cast("string").alias("refers_to"))
-    todo = rows.join(again, rows["row"] == again["again"], "left").select("row", F.col("page_id").cast("string").alias("page_id"), "url", F.when(F.col("first_row").isNull(), F.col("payload")).alias("payload"), "digest", "size", "first_row", "refers_to")
+    todo = rows.join(again.hint("merge"), rows["row"] == again["again"], "left").select("row", F.col("page_id").cast("string").alias("page_id"), "url", F.when(F.col("first_row").isNull(), F.col("payload")).alias("payload"), "digest", "size", "first_row", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(root)
@@ -187,20 +187,54 @@ class _Files:
         return self.file.read_at(length, place)
 
 
-def read_archive(spark: SparkSession, root: str, *, page_id_type: str = "bigint", payload: bool = True) -> DataFrame:
-    """Every record of an archive, found through its index.
+_DIRECTORY = "first_key string, last_key string, file string, place long, length long, lines long"
+
+
+def _blocks_of(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """key, file, place, length: the index blocks that may hold each of the distinct keys.
+
+    A key's blocks are those that begin with it, and the last that begins before it. For the latter, keys and first keys are
+    sorted together by ranges; what a range begins with comes from a table of one row for each range.
+    """
+    blocks = spark.read.schema(_DIRECTORY).parquet(f"{root}/directory")
+    same = blocks.select(F.col("first_key").alias("key"), "file", "place", "length").join(wanted.hint("merge"), "key")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("last_key", "string"), ("file", "string"), ("place", "long"), ("length", "long"))]
+    both = wanted.select("key", F.lit(0).alias("kind"), *none).unionByName(blocks.select(F.col("first_key").alias("key"), F.lit(1).alias("kind"), "last_key", "file", "place", "length"))
+    order = ["key", "kind", "file", "place"]
+    sort = materialise(both.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "warc-keys")
+    part = F.shiftright("at", 33).alias("part")
+    block = F.struct("last_key", "file", "place", "length")
+    ends = sort.where("kind = 1").groupBy(part).agg(F.max_by(block, "at").alias("last")).orderBy("part").collect()  # a row for each partition
+    before = spark.createDataFrame([(e["part"], e["last"]) for e in ends], "part long, last struct<last_key:string,file:string,place:long,length:long>")
+    # Partitions without a block pass on what the one before them had.
+    parts = sort.select(part).distinct().unionByName(before.select("part")).distinct()
+    carried = parts.join(before, "part", "left").withColumn("carried", F.last("last", True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", "carried")
+    inside = F.last(F.when(F.col("kind") == 1, block), True).over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    found = sort.withColumn("part", part).withColumn("inside", inside).join(F.broadcast(carried), "part").where("kind = 0").select("key", F.coalesce("inside", "carried").alias("b"))
+    return found.where("b.last_key >= key").select("key", "b.file", "b.place", "b.length").unionByName(same.select("key", "file", "place", "length"))
+
+
+def lookup(spark: SparkSession, root: str, wanted: DataFrame, *, page_id_type: str = "bigint", payload: bool = True) -> DataFrame:
+    """Every capture whose key is among the `key`s of `wanted` (see `url_key`); repeated and null keys, and keys without captures, add nothing.
 
     Columns: page_id, url, record_type, payload_bytes, payload_digest, refers_to, and payload
     (null for revisits) unless `payload` is false. Size and digest of a response are taken from
     the payload read; one that differs from its header raises.
     """
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = _Files(root)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, now, lines = _Files(root), None, []
         for batch in batches:
+            out = []
             for r in batch.to_pylist():
-                lines = [json.loads(x) for x in zlib.decompress(files.read(r["file"], r["place"], r["length"]), 31).splitlines()]
-                yield pa.RecordBatch.from_pydict({"file": pa.array([x[1] for x in lines], pa.string()), "place": pa.array([x[2] for x in lines], pa.int64()), "length": pa.array([x[3] for x in lines], pa.int64())})
+                if now != (r["file"], r["place"]):
+                    now = r["file"], r["place"]
+                    lines = zlib.decompress(files.read(r["file"], r["place"], r["length"]), 31).decode().splitlines()
+                at = bisect.bisect_left(lines, r["key"], key=lambda x: json.loads(x)[0])
+                while at < len(lines) and (line := json.loads(lines[at]))[0] == r["key"]:
+                    out.append(line[1:4])
+                    at += 1
+            yield pa.RecordBatch.from_pydict({"file": pa.array([x[0] for x in out], pa.string()), "place": pa.array([x[1] for x in out], pa.int64()), "length": pa.array([x[2] for x in out], pa.int64())})
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = _Files(root)
@@ -220,22 +254,23 @@ def read_archive(spark: SparkSession, root: str, *, page_id_type: str = "bigint"
     kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), *([pa.binary()] if payload else [])]
     types = {pa.string(): "string", pa.int64(): "long", pa.binary(): "binary"}
     schema = ", ".join(f"{n} {types[k]}" for n, k in zip(names, kinds, strict=True))
-    directory = spark.read.schema("first_key string, last_key string, file string, place long, length long, lines long").parquet(f"{root}/directory")
-    blocks = directory.select("file", "place", "length").repartition(partitions(spark), "file", "place")
-    found = blocks.mapInArrow(entries, "file string, place long, length long").withColumn("part", F.floor(F.col("place") / READ_BYTES))
+    keys = materialise(wanted.select("key").where("key is not null").distinct(), "warc-wanted")
+    blocks = _blocks_of(spark, root, keys).repartition(partitions(spark), "file", "place").sortWithinPartitions("file", "place", "key")
+    found = blocks.mapInArrow(search, "file string, place long, length long").withColumn("part", F.floor(F.col("place") / READ_BYTES))
     found = found.repartition(partitions(spark), "file", "part").sortWithinPartitions("file", "place").select("file", "place", "length")
     return found.mapInArrow(records, schema).withColumns({c: F.col(c).cast(page_id_type) for c in ("page_id", "refers_to")})
 
 
-def lookup(spark: SparkSession, root: str, url: str) -> list[tuple[dict[str, str], bytes]]:
-    """Headers and payload of each capture of a URL: directory, then block, then byte range."""
-    key, files, out = url_key(url), _Files(root), []
-    blocks = spark.read.parquet(f"{root}/directory").where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("first_key", "file", "place")
-    for b in blocks.collect():  # the blocks that hold this key
-        lines = zlib.decompress(files.read(b["file"], b["place"], b["length"]), 31).decode().splitlines()
-        at = bisect.bisect_left(lines, key, key=lambda x: json.loads(x)[0])
-        while at < len(lines) and (line := json.loads(lines[at]))[0] == key:
-            if line[5] == url:
-                out.append(parse_record(files.read(*line[1:4])))
-            at += 1
-    return out
+def keys_of(urls: DataFrame, url: str = "url") -> DataFrame:
+    """The `key` of each URL of a frame."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(x) for x in batch.column(0).to_pylist()], pa.string())], ["key"])
+
+    return urls.select(F.col(url).cast("string")).mapInArrow(run, "key string")
+
+
+def read_archive(spark: SparkSession, root: str, **options) -> DataFrame:
+    """Every record of an archive: a look-up of all the keys that its captures have (see `lookup`)."""
+    return lookup(spark, root, spark.read.schema("key string").parquet(f"{root}/captures"), **options)

@@ -60,7 +60,29 @@ def test_archive_round_trip(spark, docs):
     warc.write_archive(pages, root)
     got = {r["page_id"]: r for r in warc.read_archive(spark, root).collect()}
     assert len(got) == docs.count() and got[6]["record_type"] == "revisit" and got[6]["refers_to"] == 5 and got[4]["record_type"] == "response"
-    assert len(warc.lookup(spark, root, "https://a.example/x?y=1")) == len(got) and warc.lookup(spark, root, "https://b.example/") == []
+    ask = lambda *urls: warc.lookup(spark, root, warc.keys_of(spark.createDataFrame([(u,) for u in urls], "url string")))
+    assert ask("https://a.example/x?y=1", "https://a.example/x?y=1", "https://0.example/", "https://z.example/").count() == len(got) and ask("https://b.example/").count() == 0
+
+
+def test_look_up_of_many_keys(spark, monkeypatch):
+    """Blocks of three lines, a key that fills many blocks, null and odd URLs, null ids, other columns."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 3)
+    urls = ["http://hot.example/", *[f"http://h{i}.example/p?q={i % 3}" for i in range(40)], None, "no url", "http://[bad"]
+    rows = [(None if i == 7 else i, urls[0] if i % 3 == 0 else urls[i % len(urls)], f"<p>{i % 50}</p>" * (i % 9), "x", "y") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, key string, payload string").repartition(3, "page_id")
+    root = new_dir(spark, "archive")
+    warc.write_archive(pages, root)
+    everything = warc.lookup(spark, root, warc.keys_of(pages))
+    assert sorted((r["page_id"] is None, r["page_id"] or 0) for r in everything.collect()) == sorted((i is None, i or 0) for i, *_ in rows)
+    by_key = {}
+    for i, u, *_ in rows:
+        by_key.setdefault(warc.url_key(u), []).append(-1 if i is None else i)
+    for u in (urls[0], urls[5], urls[39], None, "no url", "http://[bad"):
+        found = warc.lookup(spark, root, warc.keys_of(spark.createDataFrame([(u,), ("http://absent.example/",)], "url string")))
+        assert sorted(-1 if r["page_id"] is None else r["page_id"] for r in found.collect()) == sorted(by_key[warc.url_key(u)])
+    empty = new_dir(spark, "archive")
+    warc.write_archive(pages.limit(0), empty)
+    assert warc.read_archive(spark, empty).count() == 0
 
 
 def test_toxicity_learns_and_keeps_clean(spark):
@@ -112,6 +134,27 @@ def test_token_ledger(spark, docs, texts):
         ledger.commit(2 - 2, first)
 
 
+def test_token_count_table(spark):
+    """Repeated and null ids, equal, null and empty texts, against a recount; clashing columns; no rows."""
+    from tokenizers import Tokenizer
+
+    from quarrymill.llm.queries import vocabulary
+
+    rows = [(1, "s", "en", "a b c"), (2, "s", "en", "a b c"), (2, "s", "en", "other words"), (None, "t", None, "a b c"), (None, "t", None, "d"), (3, None, "en", None), (4, "s", "en", ""), (5, "s", "de", "d"), (6, "s", "en", "é x")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").withColumns({"row": F.lit(1), "text_hash": F.lit("h"), "op": F.lit("delete"), "n_0": F.lit(5)})
+    exact, want = Tokenizer.from_file(vocabulary()), {}
+    seen = {}
+    for k, (i, source, lang, text) in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0])):
+        kept = seen.setdefault(text or "", k) == k
+        for version, n in (("words", len((text or "").split())), ("bpe", len(exact.encode(text or "", add_special_tokens=False).ids))):
+            sums = want.setdefault((source, lang, version), [0, 0, 0, 0])
+            for j, x in enumerate((1, n, kept, kept * n)):
+                sums[j] += x
+    table = lambda d: tokencounts.token_count_table(d, new_dir(spark, "tokens"), {"words": None, "bpe": vocabulary()})
+    got = {tuple(r)[:3]: list(r)[3:] for r in table(docs).collect()}
+    assert got == want and table(docs.limit(0)).count() == 0
+
+
 def runs_gone(texts, least):
     """Lines in a run of `least` words or more that an earlier place has, by brute force."""
     lines = [(t or "").split("\n") for t in texts]
