@@ -43,7 +43,7 @@ LEAST_RATIO = 24.0
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 8192
 FEATURES = 5
 #: Codes of words seen, per Python worker. A full table is emptied, so only speed depends on it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 _WORDS = re.compile(r"\w+").findall
 
 
