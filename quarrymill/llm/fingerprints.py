@@ -12,6 +12,8 @@ All of this is arithmetic within a row: no explode, no shuffle, no Python.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ BITS = 8
 WORDS = 5
 _BIN_BITS = BINS.bit_length() - 1
 _VALUE_BITS = 63 - _BIN_BITS
+#: Bins of its own order in which an empty bin looks before all filled ones are compared.
+PROBES = 8
+#: Each bin's own order of bins: where it starts, and an odd step.
+_ORDERS = [(r.randrange(BINS), r.randrange(1, BINS, 2)) for r in map(random.Random, range(BINS))]
 
 
 def _steps(name: str, text: Column) -> list[dict[str, Column]]:
@@ -38,16 +44,22 @@ def _steps(name: str, text: Column) -> list[dict[str, Column]]:
     low = lambda x: x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
     own = F.map_from_arrays(F.transform(firsts, lambda x: bin_of(x).cast("int")), F.transform(firsts, low))
 
+    starts, steps, backs = (F.array(*map(F.lit, x)) for x in ([a for a, _ in _ORDERS], [b for _, b in _ORDERS], [pow(b, -1, BINS) for _, b in _ORDERS]))
+    dense = F.col(f"{name}_dense")
+
+    def probed(j: Column, t: int) -> Column:
+        return F.get(dense, (F.get(starts, j) + F.get(steps, j) * t).bitwiseAND(F.lit(BINS - 1)))
+
     def borrowed(j: Column) -> Column:
         """Low bits of the filled bin that comes first in bin j's order of bins."""
-        mixed = F.xxhash64(j)
-        step, start = mixed.bitwiseOR(F.lit(1)), F.shiftright(mixed, 32)
-        place = lambda x: ((bin_of(x) + start) * step.bitwiseAND(F.lit(BINS - 1))).bitwiseAND(F.lit(BINS - 1))
+        place = lambda x: ((bin_of(x) - F.get(starts, j)) * F.get(backs, j)).bitwiseAND(F.lit(BINS - 1))
         return low(F.array_min(F.transform(firsts, lambda x: F.shiftleft(place(x), BITS).bitwiseOR(x.bitwiseAND(F.lit((1 << BITS) - 1))))))
 
     bins = F.sequence(F.lit(0), F.lit(BINS - 1))
-    some = F.when(F.size(firsts) == BINS, F.transform(firsts, low)).when(F.size(firsts) > 0, F.transform(bins, lambda j: F.coalesce(F.element_at(f"{name}_own", j), borrowed(j))))
-    return [{words: split}, {n: F.size(words)}, {keys: F.sort_array(keyed)}, {firsts: least}, {f"{name}_own": F.when(F.size(firsts) < BINS, own)}, {name: some}]
+    filled = lambda j: F.coalesce(F.get(dense, j), *[probed(j, t) for t in range(PROBES)], borrowed(j))
+    some = F.when(F.size(firsts) == BINS, F.transform(firsts, low)).when(F.size(firsts) > 0, F.transform(bins, filled))
+    by_bin = F.when(F.size(firsts) < BINS, F.transform(bins, lambda j: F.element_at(f"{name}_own", j)))
+    return [{words: split}, {n: F.size(words)}, {keys: F.sort_array(keyed)}, {firsts: least}, {f"{name}_own": F.when(F.size(firsts) < BINS, own)}, {f"{name}_dense": by_bin}, {name: some}]
 
 
 def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:

@@ -54,3 +54,13 @@ def test_toxicity_knows_rare_wording(spark):
     caught = {r["truth"]: r["share"] for r in got.groupBy("truth").agg(F.avg("predicted").alias("share")).collect()}
     print("caught", caught)
     assert caught[1] >= 0.6 and caught[0] <= 0.02
+
+
+def test_probing_and_comparing_all_filled_bins_agree(spark, monkeypatch):
+    from quarrymill.llm import fingerprints
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k) % 97}x{k % (i + 3)}" for k in range(i * 9))) for i in range(40)], "doc_id long, text string")
+    run = lambda: sorted(fingerprints.with_fingerprint(docs, docs["text"], "bins").select("doc_id", "bins").collect())
+    probed = run()
+    monkeypatch.setattr(fingerprints, "PROBES", 0)
+    assert run() == probed and probed[0]["bins"] is None and all(len(r["bins"]) == fingerprints.BINS for r in probed[1:])
