@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html as entities
+import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-
 def _accented() -> tuple[str, str]:
     """The letters of the Latin blocks that decompose to an ASCII letter and marks, and those letters."""
     pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]]
@@ -129,11 +130,46 @@ def long_date(text: Column) -> Column:
     return F.when(month != "0", F.concat_ws("-", found(3), F.lpad(month, 2, "0"), F.lpad(found(1), 2, "0")))
 
 
+def alternatives(pattern: str) -> list[str]:
+    """The parts of a pattern between the bars that stand in no group or class."""
+    parts, depth, in_class, at = [""], 0, False, 0
+    while at < len(pattern):
+        c = pattern[at : at + 2] if pattern[at] == "\\" else pattern[at]
+        depth += (c == "(") - (c == ")") if not in_class else 0
+        in_class = c == "[" or (in_class and c != "]")
+        if c == "|" and not depth and not in_class:
+            parts.append("")
+        else:
+            parts[-1] += c
+        at += len(c)
+    return parts
+
+
+def needed_literal(alternative: str) -> str:
+    """The longest plain text that any match of an alternative must hold."""
+    rest = re.sub(r"\\.|\[[^\]]*\]", "\0", alternative)
+    while (less := re.sub(r"\([^()]*\)(?:[?*+]|\{[^}]*\})?", "\0", rest)) != rest:
+        rest = less
+    return max(re.sub(r".(?:[?*]|\{[^}]*\})|[.^$+]", "\0", rest).split("\0"), key=len)
+
+
+def found(text: Column, pattern: str) -> Column:
+    """Whether a pattern is found. `text` should be a column, not an expression, as it is tested for each alternative.
+
+    Plain alternatives are searched as bytes. The others run as a pattern only where a text has the literal that they need.
+    """
+    tests = []
+    for part in alternatives(pattern):
+        literal = needed_literal(part)
+        tests.append(text.contains(literal) if literal == part else text.contains(literal) & text.rlike(ascii_edges(part)) if len(literal) > 2 else text.rlike(ascii_edges(part)))
+    return reduce(Column.__or__, tests)
+
+
 def first_match(text: Column, patterns: list[tuple[str, str]], default: str | None) -> Column:
-    """The name of the first pattern that is found."""
-    out = F.when(text.rlike(ascii_edges(patterns[0][0])), patterns[0][1])
+    """The name of the first pattern that is found; `text` as in `found`."""
+    out = F.when(found(text, patterns[0][0]), patterns[0][1])
     for pattern, name in patterns[1:]:
-        out = out.when(text.rlike(ascii_edges(pattern)), name)
+        out = out.when(found(text, pattern), name)
     return out.otherwise(F.lit(default))
 
 

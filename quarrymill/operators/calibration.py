@@ -202,14 +202,16 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return placed.join(F.broadcast(before), "part").withColumn(name, F.col("at") + F.col("before") + 1).drop("part", "at", "before")
 
 
-def rolled_cycles(df: DataFrame, now: str, months: int = 240) -> DataFrame:
+def rolled_cycles(df: DataFrame, now: str) -> DataFrame:
     """cycle_start and cycle_end: months added to `start` one by one, each clamped to its month's last day, until the end is after `now`.
 
-    Once a month was short the day stays short, so the months can't be added at once: the steps are folded within the row.
+    Once a month was short the day stays short, so the months can't be added at once: the steps are folded within the row, one for each
+    month since `start`. A null start stays null.
     """
     step = lambda s, i: F.when(s["end"] > F.lit(now).cast("date"), s).otherwise(F.struct(s["end"].alias("start"), F.add_months(s["end"], 1).alias("end")))
     first = F.struct(F.col("start").alias("start"), F.add_months("start", 1).alias("end"))
-    rolled = df.withColumn("c", F.aggregate(F.sequence(F.lit(1), F.lit(months)), first, step))
+    months = F.greatest(F.lit(1), F.ceil(F.months_between(F.lit(now).cast("date"), "start")).cast("int") + 2)
+    rolled = df.withColumn("c", F.when(F.col("start").isNotNull(), F.aggregate(F.sequence(F.lit(1), months), first, step)))
     return rolled.withColumns({"cycle_start": F.col("c.start"), "cycle_end": F.col("c.end")}).drop("c", "start")
 
 

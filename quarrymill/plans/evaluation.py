@@ -295,12 +295,12 @@ def first_seen_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "quota_cycles",
-    "WITH RECURSIVE a AS (SELECT c_custkey, DATE '2024-01-01' + (c_custkey % 31)::INT AS s FROM customer), r AS (SELECT c_custkey, s, s AS e FROM a UNION ALL SELECT c_custkey, e, least((e + INTERVAL 1 MONTH)::DATE, last_day(date_trunc('month', e) + INTERVAL 1 MONTH)) FROM r WHERE e <= DATE '2024-07-15') "
+    "WITH RECURSIVE a AS (SELECT c_custkey, DATE '1990-01-01' + (c_custkey * 7 % 12400)::INT AS s FROM customer), r AS (SELECT c_custkey, s, s AS e FROM a UNION ALL SELECT c_custkey, e, least((e + INTERVAL 1 MONTH)::DATE, last_day(date_trunc('month', e) + INTERVAL 1 MONTH)) FROM r WHERE e <= DATE '2024-07-15') "
     "SELECT c_custkey, max_by(s, e)::VARCHAR AS cycle_start, max(e)::VARCHAR AS cycle_end FROM r GROUP BY c_custkey",
 )
 def quota_cycles(spark: SparkSession, sf: str) -> DataFrame:
     """Monthly cycles rolled forward until they end after a date; the day is clamped each month and stays clamped."""
-    start = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 31).cast("int"))
+    start = F.date_add(F.lit("1990-01-01").cast("date"), (F.col("c_custkey") * 7 % 12400).cast("int"))
     return K.rolled_cycles(read(spark, sf, "customer").select("c_custkey", start.alias("start")), "2024-07-15").select("c_custkey", F.col("cycle_start").cast("string").alias("cycle_start"), F.col("cycle_end").cast("string").alias("cycle_end"))
 
 

@@ -14,6 +14,7 @@ from quarrymill.plans.catalog import FOLD, query, read
 PHRASES = [
     "execução fiscal de icms", "aposentadoria por invalidez no inss", "rescisão com horas extras", "habeas corpus por tráfico", "improbidade administrativa e DIREITO PENAL", "dano ambiental", "divórcio e guarda, direito civil",
     "PROCESSUAL CIVIL. TRIBUTÁRIO. Julgo parcialmente procedente. Cumpre destacar, cumpre destacar.", "Defiro o pedido. Pede deferimento.", "art. 5 da lei n. 8.213 c/c Art. 5, Súmula 7, CPC/2015, STF e STJ", "nada",
+    "houve condenação", "a procedência do pedido", "improcedência", "absolvição, data maxima venia, nobre julgador", "segurança denegada", "art. 485 do CPC", "homologação de transação, patente que resta demonstrado", "art. 5 e art. 5-A e art. 5º-B, douto juízo",
 ]
 _PHRASES_SQL = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in PHRASES) + "]"
 _JOINED = f"SELECT doc_id, coalesce(text, '') || ' ' || {_PHRASES_SQL}[(doc_id % {len(PHRASES)})::INT + 1] AS t FROM documents"
@@ -24,6 +25,11 @@ def _joined(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), phrase).alias("t"))
 
 
+def _lowered(spark: SparkSession, sf: str) -> DataFrame:
+    """Lower-cased once: the patterns read a column."""
+    return _joined(spark, sf).select("doc_id", F.lower("t").alias("t"))
+
+
 def _first_sql(text: str, patterns: list[tuple[str, str]], default: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{p}') THEN '{n}'" for p, n in patterns) + f" ELSE {default} END"
 
@@ -42,7 +48,7 @@ AREAS = [
 
 @query("area_classify", f"WITH j AS ({_JOINED}), l AS (SELECT doc_id, lower(t) AS t FROM j) SELECT doc_id, {_first_sql('t', AREAS, chr(39) + 'OUTRO' + chr(39))} AS area FROM l")
 def area_classify(spark: SparkSession, sf: str) -> DataFrame:
-    return _joined(spark, sf).select("doc_id", T.first_match(F.lower("t"), AREAS, "OUTRO").alias("area"))
+    return _lowered(spark, sf).select("doc_id", T.first_match(F.col("t"), AREAS, "OUTRO").alias("area"))
 
 
 #: Branches by the words that a folded, upper-cased text has; several may hold.
@@ -60,35 +66,40 @@ _PENAL_SQL = "regexp_matches(t, 'DIREITO PENAL') OR (t LIKE '% PENAL%' AND NOT r
     "SELECT doc_id, CASE WHEN len(b) = 0 THEN 'Outros' ELSE array_to_string(b, '; ') END AS branches FROM b",
 )
 def branch_multilabel(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.upper(T.fold(F.col("t")))
-    penal = t.rlike("DIREITO PENAL") | (t.contains(" PENAL") & ~t.rlike("PROCESSUAL PENAL|EXECUCAO PENAL"))
-    found = F.filter(F.array(*[F.when(penal if n == "Penal" else t.rlike(p), n) for p, n in BRANCHES]), lambda x: x.isNotNull())
-    return _joined(spark, sf).select("doc_id", found.alias("b")).select("doc_id", F.when(F.size("b") == 0, "Outros").otherwise(F.array_join("b", "; ")).alias("branches"))
+    t = F.col("t")
+    penal = T.found(t, "DIREITO PENAL") | (t.contains(" PENAL") & ~T.found(t, "PROCESSUAL PENAL|EXECUCAO PENAL"))
+    found = F.array_compact(F.array(*[F.when(penal if n == "Penal" else T.found(t, p), n) for p, n in BRANCHES]))
+    folded = _joined(spark, sf).select("doc_id", F.upper(T.fold(F.col("t"))).alias("t"))
+    return folded.select("doc_id", found.alias("b")).select("doc_id", F.when(F.size("b") == 0, "Outros").otherwise(F.array_join("b", "; ")).alias("branches"))
 
 
-#: What a decision decides, more specific patterns first.
+#: What a decision decides, the first pattern that a lower-cased text has.
 OUTCOMES = [
     (r"\bconcedo\s+(?:a\s+)?ordem\b|\bconceder\s+(?:a\s+)?ordem\b|\bhc\s+concedido\b|\border\s+concedida\b", "CONCEDO_ORDEM"),
-    (r"\bdenego\s+(?:a\s+)?(?:ordem|seguran[cç]a)\b|\bhc\s+denegado\b|\border\s+denegada\b", "DENEGO_ORDEM"),
-    (r"\bcondeno\b|\bcondenar\b", "CONDENO"),
-    (r"\babsolvo\b|\babsolver\b|\babsolvendo\b", "ABSOLVO"),
-    (r"\bindefiro\b|\bindeferido\b", "INDEFIRO"),
-    (r"\bdefiro\b|\bdeferido\b", "DEFIRO"),
-    (r"extin[cç][aã]o\s+sem\s+(?:resolu[cç][aã]o|m[eé]rito)|extinto\s+sem\s+(?:resolu[cç][aã]o|m[eé]rito)", "EXTINCAO_SEM_RESOLUCAO"),
-    (r"\bhomologar\s+o?\s*acordo\b|\bhomologa[cç][aã]o\s+d[oae]\s+acordo\b", "HOMOLOGACAO"),
-    (r"\bparcialmente\s+procedente\b|\bprocedente\s+em\s+parte\b", "PARCIALMENTE_PROCEDENTE"),
-    (r"\bimprocedentes?\b", "IMPROCEDENTE"),
-    (r"\bprocedente\b", "PROCEDENTE"),
+    (r"\bdenego\s+(?:a\s+)?(?:ordem|seguran[cç]a)\b|\bdenegar\s+(?:a\s+)?(?:ordem|seguran[cç]a)\b|\bhc\s+denegado\b|\border\s+denegada\b|\bseguran[cç]a\s+denegada\b", "DENEGO_ORDEM"),
+    (r"\bcondeno\b|\bcondenar\b|\bcondena[cç][aã]o\b", "CONDENO"),
+    (r"\babsolvo\b|\babsolver\b|\babsolvendo\b|\babsolvição\b", "ABSOLVO"),
+    (r"\bindefiro\b|\bindeferido\b|\bindefiro\s+o\s+pedido\b", "INDEFIRO"),
+    (r"\bdefiro\b|\bdeferido\b|\bdefiro\s+o\s+pedido\b", "DEFIRO"),
+    (r"extinguir?\s+sem\s+resolu[cç][aã]o|extinto\s+sem\s+(?:resolu[cç][aã]o|m[eé]rito)|extin[cç][aã]o\s+sem\s+(?:resolu[cç][aã]o|m[eé]rito)|julgar\s+extinto\s+sem\b|art\.?\s*485\s+(?:do\s+)?cpc", "EXTINCAO_SEM_RESOLUCAO"),
+    (r"\bhomolog(?:ar|a[cç][aã]o)\s+(?:d[oae]\s+)?acordo\b|\bhomolog(?:ar|a[cç][aã]o)\s+(?:d[oae]\s+)?transa[cç][aã]o\b|\bhomologar\s+o?\s*acordo\b", "HOMOLOGACAO"),
+    (r"\bparcialmente\s+procedente\b|\bprocedente\s+em\s+parte\b|\bprocedência\s+parcial\b", "PARCIALMENTE_PROCEDENTE"),
+    (r"\bimprocedente\b|\bimprocedência\b|\bimprocedentes?\b|\bjulgar\s+improcedente\b|\bsentença\s+de\s+improcedência\b", "IMPROCEDENTE"),
+    (r"\bprocedente\b|\bprocedência\b|\bjulgar\s+procedente\b|\bsentença\s+de\s+procedência\b", "PROCEDENTE"),
 ]
 
 
 @query("outcome_extract", f"WITH j AS ({_JOINED}), l AS (SELECT doc_id, lower(t) AS t FROM j) SELECT doc_id, {_first_sql('t', OUTCOMES, 'NULL')} AS outcome FROM l")
 def outcome_extract(spark: SparkSession, sf: str) -> DataFrame:
-    return _joined(spark, sf).select("doc_id", T.first_match(F.lower("t"), OUTCOMES, None).alias("outcome"))
+    return _lowered(spark, sf).select("doc_id", T.first_match(F.col("t"), OUTCOMES, None).alias("outcome"))
 
 
 #: Phrases that cost 10 points once, and 5 for each repetition.
-BANNED = ["resta comprovado", "conforme amplamente demonstrado", "diante do exposto, requer", "ante o exposto, requer", "pelo exposto, requer", "requer-se", "termos em que,", "termos em que", "pede deferimento", "pede deferimento."]
+BANNED = [
+    "vem, respeitosamente", "vem perante vossa excelência", "vem à presença de vossa excelência", "vem a presença de vossa excelência", "data maxima venia", "nobre julgador", "douto juízo",
+    "merece prosperar", "não merece prosperar", "patente que", "resta demonstrado", "resta comprovado", "conforme amplamente demonstrado", "diante do exposto, requer", "ante o exposto, requer",
+    "pelo exposto, requer", "requer-se", "termos em que,", "termos em que", "pede deferimento", "pede deferimento.",
+]
 REPETITIVE = ["cumpre destacar", "cumpre observar", "cumpre registrar", "importa destacar", "importa salientar", "vale destacar", "vale ressaltar", "nesse contexto", "nesse sentido"]
 
 
@@ -110,7 +121,7 @@ def style_lint(spark: SparkSession, sf: str) -> DataFrame:
 #: Courts, precedents and norms that a text cites.
 COURTS = [r"\bSTF\b", r"\bSTJ\b", r"\bTST\b", r"\bTNU\b", r"\bTRF\b", r"\bTJ[A-Z]{2}\b", r"\bTRT\b"]
 PRECEDENTS = r"tema\s+(?:stf|stj)\s+[0-9]+|resp\.?\s*[0-9./]+|re\s+[0-9./]+|súmula\s+(?:n[.°º]?\s*)?[0-9]+|eresp\.?\s*[0-9./]+"
-ARTICLES = r"art(?:igo)?\.\s*[0-9]+"
+ARTICLES = r"art(?:igo)?\.\s*[0-9]+[\w\-º°]*"
 LAWS = [r"lei\s+(?:n[.°º]?\s*)?[0-9][0-9.,/]*", r"decreto[\s-]lei\s+n[.°º]?\s*[0-9]+", r"ec\s+[0-9]+/[0-9]+|emenda\s+constitucional\s+n[.°º]?\s*[0-9]+", r"\bcpc/[0-9]{4}|\bcf/[0-9]{2}\b|\bcdc\b"]
 
 
@@ -124,11 +135,12 @@ LAWS = [r"lei\s+(?:n[.°º]?\s*)?[0-9][0-9.,/]*", r"decreto[\s-]lei\s+n[.°º]?\
 )
 def citation_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct courts, precedents and norms, and a score of norms in four steps."""
-    t, w = F.col("t"), F.lower("t")
-    found = lambda p: F.regexp_extract_all(w, F.lit(T.ascii_edges(p)), F.lit(0))
+    t, w = F.col("t"), F.col("w")
+    none = F.array().cast("array<string>")
+    found = lambda p: F.when(T.found(w, p), F.regexp_extract_all(w, F.lit(T.ascii_edges(p)), F.lit(0))).otherwise(none)
     packed = lambda a: F.size(F.array_distinct(F.transform(a, lambda x: F.regexp_replace(x, r"\s", ""))))
-    courts = sum((t.rlike(T.ascii_edges(p)).cast("int") for p in COURTS), F.lit(0))
-    counts = _joined(spark, sf).select("doc_id", courts.alias("courts"), F.size(F.array_distinct(found(PRECEDENTS))).alias("precedents"), (packed(found(ARTICLES)) + packed(F.concat(*map(found, LAWS)))).alias("norms"))
+    courts = sum((T.found(t, p).cast("int") for p in COURTS), F.lit(0))
+    counts = _joined(spark, sf).select("doc_id", "t", F.lower("t").alias("w")).select("doc_id", courts.alias("courts"), F.size(F.array_distinct(found(PRECEDENTS))).alias("precedents"), (packed(found(ARTICLES)) + packed(F.concat(*map(found, LAWS)))).alias("norms"))
     return counts.withColumn("norm_score", T.tiered(F.col("norms"), [1, 3, 5, 8], [0.25, 0.5, 0.75, 1], 20))
 
 
