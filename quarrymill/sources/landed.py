@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from quarrymill.sources.shared import Store
+
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, broken lines): malformed lines are set apart, not fatal."""
@@ -25,11 +27,9 @@ def xml_records(spark: SparkSession, path: str, row_tag: str, schema: str) -> Da
 
 def append_unseen(new: DataFrame, path: str, key: list[str]) -> int:
     """Append the rows whose key hash the Parquet table at `path` lacks; how many."""
-    spark = new.sparkSession
+    spark, written = new.sparkSession, Observation()
     hashed = new.withColumn("row_hash", F.sha2(F.to_json(F.struct(*key)), 256)).dropDuplicates(["row_hash"])
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    if Store(spark, path).exists(path):
         hashed = hashed.join(spark.read.parquet(path).select("row_hash"), "row_hash", "left_anti")
-    before = 0 if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else spark.read.parquet(path).count()
-    hashed.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    hashed.observe(written, F.count("*").alias("n")).write.mode("append").parquet(path)
+    return written.get["n"]
