@@ -13,8 +13,10 @@ is shuffled, and a language that most documents have is a few thousand counts. T
 from __future__ import annotations
 
 import base64
+import functools
 import os
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ SYMBOLS = b"#*$%&|<>"
 BANDS: dict[str, tuple[float | None, float | None]] = {"chars_per_token": (4.0, 4.0), "tokens_per_word": (4.0, 4.0), "fallback_share": (None, 3.0), "entropy_excess": (2.5, 6.0)}
 #: Least interquartile range, in thousandths: of characters, tokens, shares and bits.
 LEAST_SPREAD = {"chars_per_token": 20, "tokens_per_word": 30, "fallback_share": 10, "entropy_excess": 60}
-#: Tokens of words seen, per Python worker. A full table is emptied, so only speed depends on it.
+#: Words whose tokens a Python worker keeps in each of two tables; only speed depends on it. A slice of rows may exceed it by its own words.
 CACHE_WORDS = 200_000
 #: Longer words are tokenised in parts of so many characters, all of them.
 LONG_WORD = 256
@@ -49,34 +51,48 @@ class Vocabularies:
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-        self._tokens = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._tokens = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
         self._pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        self._fallback = np.array([self._pieces.is_byte(i) for i in range(self._pieces.get_piece_size())])
+        self._fallback = frozenset(i for i in range(self._pieces.get_piece_size()) if self._pieces.is_byte(i))
         self._known: dict[str, tuple[bytes, int, int]] = {}
-
-    def _new(self, word: str) -> tuple[bytes, int, int]:
-        tokens, pieces = [], []
-        for at in range(0, len(word), LONG_WORD):
-            part = word[at : at + LONG_WORD]
-            tokens += self._tokens(part if at else " " + part)
-            pieces += self._pieces.encode(part)
-        out = (np.array(tokens, np.int32).tobytes(), len(pieces), int(np.count_nonzero(self._fallback[pieces])))
+        self._older: dict[str, tuple[bytes, int, int]] = {}
+
+    def _learn(self, words: Iterable[str]) -> None:
+        """Tokenise words that are not known. Of two tables the older goes when the newer is full, so common words stay."""
+        new = []
+        for w in words:
+            if (old := self._older.get(w)) is not None:
+                self._known[w] = old
+            elif w not in self._known:
+                new.append(w)
+        parts = [[w[at : at + LONG_WORD] for at in range(0, len(w), LONG_WORD)] for w in new]
+        pieces = iter(self._pieces.encode([p for ps in parts for p in ps], num_threads=1))
+        for w, ps in zip(new, parts, strict=True):
+            tokens, found = array("i", self._tokens(" " + ps[0])), next(pieces)
+            for p in ps[1:]:
+                tokens.extend(self._tokens(p))
+                found = found + next(pieces)
+            self._known[w] = (tokens.tobytes(), len(found), sum(map(self._fallback.__contains__, found)))
+
+    def measure(self, texts: list[list[str]]) -> list[tuple[int, int, int, int]]:
+        """Tokens, pieces, fallback pieces, and the entropy of the tokens in millibits, of each text's words."""
         if len(self._known) >= CACHE_WORDS:
-            self._known.clear()
-        if len(word) <= LONG_WORD:
-            self._known[word] = out
+            self._known, self._older = {}, self._known
+        known = self._known
+        self._learn({w for words in texts for w in words if w not in known})
+        out = []
+        for words in texts:
+            found = [known[w] for w in words]
+            ids = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
+            share = np.unique(ids, return_counts=True)[1] / max(1, len(ids))
+            out.append((len(ids), sum([f[1] for f in found]), sum([f[2] for f in found]), int(round(-1000 * float((share * np.log2(share)).sum())))))
         return out
 
-    def measure(self, words: list[str]) -> tuple[int, int, int, int]:
-        """Tokens, pieces, fallback pieces, and the entropy of the tokens in millibits."""
-        if not words:
-            return 0, 0, 0, 0
-        known, new = self._known.get, self._new
-        tokens, pieces, fallback = zip(*[known(w) or new(w) for w in words], strict=True)
-        ids = np.frombuffer(b"".join(tokens), np.int32)
-        counts = np.unique(ids, return_counts=True)[1]
-        share = counts / len(ids)
-        return len(ids), sum(pieces), sum(fallback), int(round(-1000 * float((share * np.log2(share)).sum())))
+
+@functools.lru_cache(maxsize=1)
+def _vocabularies(ranks_path: str, piece_path: str) -> Vocabularies:
+    """One for each Python worker: the next task finds the words known."""
+    return Vocabularies(ranks_path, piece_path)
 
 
 def repeated_words(words: list[str]) -> int:
@@ -108,16 +124,18 @@ def measures(docs: DataFrame, ranks_path: str, piece_path: str, *, doc_id: str =
     """doc_id, lang and the counts of each whole text; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabularies = Vocabularies(ranks_path, piece_path)
+        vocabularies = _vocabularies(ranks_path, piece_path)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part, rows = batch.slice(at, ROWS_AT_ONCE), []
+                part, rows, texts = batch.slice(at, ROWS_AT_ONCE), [], []
                 for value in part.column(2):
                     t = value.as_py() or ""
                     data = t.encode()
-                    words = [w.decode() for w in data.split()]  # bytes part at exactly the six separators
+                    texts.append([w.decode() for w in data.split()])  # bytes part at exactly the six separators
                     chars = len(t) - sum(t.count(c) for c in _BLANKS)
-                    rows.append((len(words), chars, len(data) - len(data.translate(None, SYMBOLS)), repeated_lines(t), repeated_words(words), *vocabularies.measure(words)))
+                    rows.append([len(texts[-1]), chars, len(data) - len(data.translate(None, SYMBOLS)), repeated_lines(t), repeated_words(texts[-1])])
+                for row, more in zip(rows, vocabularies.measure(texts), strict=True):
+                    row += more
                 numbers = np.array(rows, np.int64).reshape(-1, len(_NUMBERS)).T
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, numbers)], ["doc_id", "lang", *_NUMBERS])
 
