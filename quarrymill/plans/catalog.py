@@ -41,7 +41,7 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 # Retrieval
 
 _BM25 = (
-    "WITH d AS (SELECT doc_id, " + tokens_sql("left(text, 500)") + " AS a, " + tokens_sql("text") + " AS b FROM documents), "
+    "WITH d AS (SELECT doc_id, " + tokens_sql("split_part(text, chr(10), 1)") + " AS a, " + tokens_sql("text") + " AS b FROM documents), "
     "t AS (SELECT unnest([" + ", ".join(f"'{t}'" for t in TERMS) + "]) AS term), "
     "c AS (SELECT doc_id, term, len(list_filter(a, lambda w: w = term))::DOUBLE AS fa, len(list_filter(b, lambda w: w = term))::DOUBLE AS fb, len(a)::DOUBLE AS la, len(b)::DOUBLE AS lb FROM d, t), "
     "s AS (SELECT count(*)::DOUBLE AS n, avg(len(a)::DOUBLE) AS ma, avg(len(b)::DOUBLE) AS mb FROM d), "
@@ -54,7 +54,7 @@ _BM25 = (
 
 def _bm25(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents")
-    fields = {"head": (F.substring("text", 1, 500), 2.0), "body": (F.col("text"), 1.0)}
+    fields = {"head": (F.substring_index("text", "\n", 1), 2.0), "body": (F.col("text"), 1.0)}
     return search.bm25(docs, fields, TERMS).withColumn("score", F.round("score", 6))
 
 
