@@ -10,6 +10,7 @@ from quarrymill.plans.catalog import query, read
 from quarrymill.plans.texts import AREAS, _first_sql, _joined, _JOINED
 from quarrymill.sources.shared import fresh_path
 from quarrymill.sources.versioned import VersionedTable
+from quarrymill.streaming import ingest
 
 _CHANGED = "o_orderkey + CASE o_orderpriority WHEN '1-URGENT' THEN 1000000000 ELSE 0 END"
 _BAD = "(o_totalprice <= 2000 OR o_orderpriority = '4-NOT SPECIFIED')"
@@ -73,3 +74,59 @@ def store_exclusive_flag(spark: SparkSession, sf: str) -> DataFrame:
     table = VersionedTable.create(c.select("conv_id", "turn", (F.col("turn") == 0).alias("recommended")), fresh_path(spark, "flags"), ["conv_id", "turn"], buckets=16)
     table.set_exclusive("conv_id", "recommended", c.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("turn")))
     return table.read()
+
+
+def _event_feed(spark: SparkSession, sf: str) -> tuple[VersionedTable, str, DataFrame]:
+    """Events in four files, not in order of time, every click again in a file of its own; and an empty table for them."""
+    rows = read(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    folder = fresh_path(spark, "landed")
+    rows.repartition(4, "user_id").write.parquet(f"{folder}/in/a")
+    rows.where("event_type = 'click'").coalesce(1).write.parquet(f"{folder}/in/b")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in/*")
+    return VersionedTable.create(rows.limit(0), fresh_path(spark, "events"), ["event_id"], buckets=16), folder, stream
+
+
+def _ingested(spark: SparkSession, sf: str) -> VersionedTable:
+    table, folder, stream = _event_feed(spark, sf)
+    ingest.ingest(stream, table, "events", f"{folder}/checkpoint", valid=F.col("value") >= 5, newest=["ts"], cursor=F.max("ts")).awaitTermination()
+    return table
+
+
+@query("stream_ingest", "SELECT event_id, user_id, event_type, value FROM events WHERE value >= 5")
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream with repeats, written batch by batch to a table with a key; bad rows go aside."""
+    return _ingested(spark, sf).read().select("event_id", "user_id", "event_type", "value")
+
+
+@query(
+    "stream_counts",
+    "SELECT count(*) FILTER (value >= 5) AS inserted, count(*) FILTER (value >= 5 AND event_type = 'click') AS updated, (count(*) FILTER (NOT coalesce(value >= 5, false)) + count(*) FILTER (NOT coalesce(value >= 5, false) AND event_type = 'click'))::BIGINT AS failed, "
+    "(max(ts) FILTER (value >= 5))::DATE - 3 AS since FROM events",
+)
+def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What the batches did in all, and the day from which the feed would be read again."""
+    table = _ingested(spark, sf)
+    sums = [F.sum(c).alias(c) for c in ("inserted", "updated", "failed")]
+    return table.history().agg(*sums).withColumn("since", F.lit(ingest.since(table, "events", 3, "2024-01-01")).cast("date"))
+
+
+@query("stream_reconcile", "SELECT count(*) FILTER (coalesce(value < 5, true)) AS lacking, 0::BIGINT AS after_retry FROM events")
+def stream_reconcile(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that a feed should have written and did not, before and after one retry."""
+    table, rows = _ingested(spark, sf), read(spark, sf, "events")
+    fetch = lambda keys: rows.join(keys, "event_id", "left_semi").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    return spark.createDataFrame([ingest.reconcile(rows, table, fetch)], "lacking long, after_retry long")
+
+
+@query("window_control", "WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS m, count(*) AS n FROM orders GROUP BY 1) SELECT m::VARCHAR AS start, n AS rows, CASE WHEN month(m) = 2 THEN 'failed' ELSE 'done' END AS status, CASE WHEN month(m) = 2 THEN 3 WHEN month(m) = 7 THEN 2 ELSE 1 END AS attempts FROM m")
+def window_control(spark: SparkSession, sf: str) -> DataFrame:
+    """Months of orders read until each is done or has failed three times: Februaries always fail, Julies once."""
+    m = F.date_trunc("month", "o_orderdate").cast("date")
+    months = read(spark, sf, "orders").groupBy(m.cast("string").alias("start"), F.last_day(m).cast("string").alias("end")).agg(F.count("*").alias("rows"))
+    table = VersionedTable.create(spark.createDataFrame([], ingest.CONTROL), fresh_path(spark, "control"), ["feed", "start", "end"], buckets=4)
+    for attempt in range(4):
+        todo = ingest.windows_to_do(months, table, "orders")
+        month = F.month(F.col("start").cast("date"))
+        ok = (month != 2) & ((month != 7) | F.lit(attempt > 0))
+        ingest.record_windows(todo.select("start", "end", ok.alias("ok"), "rows"), table, "orders")
+    return table.read().join(months.withColumnRenamed("rows", "n"), ["start", "end"]).select("start", F.col("n").alias("rows"), "status", "attempts")

@@ -34,6 +34,8 @@ class Manifest:
     folders: dict[str, tuple[str, int]] = field(default_factory=dict)  # of a bucket: the write that holds it, and its rows
     operation: str = "create"
     counts: dict[str, int] = field(default_factory=dict)
+    batches: dict[str, int] = field(default_factory=dict)  # the last batch of each feed that is in the table
+    cursors: dict[str, str] = field(default_factory=dict)  # how far each feed has come
 
 
 class VersionedTable:
@@ -111,16 +113,24 @@ class VersionedTable:
 
     def _next(self, m: Manifest, touched: set[str], rows: DataFrame, write: str, operation: str, counts: dict[str, int]) -> Manifest:
         folders = {b: f for b, f in m.folders.items() if b not in touched} | self._write(rows, m, write)
-        return Manifest(m.version + 1, m.key, m.buckets, m.schema, folders, operation, counts)
+        return Manifest(m.version + 1, m.key, m.buckets, m.schema, folders, operation, counts, dict(m.batches), dict(m.cursors))
 
-    def merge(self, changes: DataFrame, *, valid: Column | None = None, latest: list[str] | None = None, insert_only: bool = False) -> dict[str, int]:
+    def merge(
+        self, changes: DataFrame, *, valid: Column | None = None, latest: list[str] | None = None, insert_only: bool = False, newest_wins: bool = False, batch: tuple[str, int] | None = None, cursor: Column | None = None
+    ) -> dict[str, int]:
         """Rows whose key is stored replace the stored row, others are added; counts of inserted, updated and failed rows.
 
         Rows with a null key, and those for which `valid` does not hold, go to `quarantine`, whatever their number: they never stop
         the rest. Of changes with one key the one with the greatest `latest` columns counts, then the greatest of all columns (for columns that can be
-        ordered; nulls are least). With `insert_only` stored rows win. No changes make a version like the one before.
+        ordered; nulls are least). With `insert_only` stored rows win; with `newest_wins` the stored row is one of those that are compared, so the order
+        in which changes arrive does not matter. No changes make a version like the one before.
+
+        A `batch` (feed, number) that is not above the feed's last one is in the table already and does nothing. `cursor`, an aggregate over the valid
+        changes, moves the feed's cursor, as text, forward. Both are part of the version: they hold exactly if its rows do.
         """
         m = self.manifest()
+        if batch and m.batches.get(batch[0], -1) >= batch[1]:
+            return {"failed": 0, "inserted": 0, "updated": 0}
         names = StructType.fromJson(m.schema).names
         if sorted(changes.columns) != sorted(names):
             raise ValueError(f"columns {changes.columns} are not those of the table: {names}")
@@ -142,12 +152,20 @@ class VersionedTable:
         new = rows.where("_good").groupBy(*m.key).agg(F.max_by(F.struct(*names), order).alias("_new"))  # combined before the exchange: a key with many changes is no burden
         stored = self._rows(m, touched).select(*[F.col(k) for k in m.key], F.struct(*names).alias("_old"))
         both = stored.join(new, m.key, "full")
+        rank = lambda row: F.struct(*[F.col(row)[n] for n in (latest or [])], *[F.col(row)[n] for n in names if n not in (latest or [])])
         kept = F.coalesce("_old", "_new") if insert_only else F.coalesce("_new", "_old")
+        if newest_wins:
+            kept = F.when(F.col("_old").isNotNull() & F.col("_new").isNotNull() & (rank("_old") > rank("_new")), F.col("_old")).otherwise(kept)
         counts = {"failed": failed}
         out = self._next(m, touched, both.select(kept.alias("_row")).select("_row.*"), write, "merge", counts)
         before = sum(n for b, (_, n) in m.folders.items() if b in touched)
         counts["inserted"] = sum(n for b, (_, n) in out.folders.items() if b in touched) - before
         counts["updated"] = 0 if insert_only else new.count() - counts["inserted"]
+        if batch:
+            out.batches[batch[0]] = batch[1]
+            reached = rows.where("_good").agg(cursor.cast("string").alias("c")).first()["c"] if cursor is not None else None
+            if reached is not None:
+                out.cursors[batch[0]] = max(reached, out.cursors.get(batch[0], reached))
         self._commit(out)
         self.store.delete(staged)
         return counts
