@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrymill.operators import calibration as K
+from quarrymill.operators.guard import guard
 from quarrymill.plans.catalog import _DECISIONS, _decisions, query, read, tokens_sql
 
 #: lineitem as findings of executions (orders), and as feedback on types, of which one gets none.
@@ -326,3 +327,18 @@ def since_dates(spark: SparkSession, sf: str) -> DataFrame:
     cursors = events.where("event_type = 'purchase'").groupBy("user_id").agg(F.to_date(F.max("ts")).alias("cursor"))
     asked = F.explode(F.array(F.lit("2024-01-10"), F.lit(None).cast("string"))).alias("asked")
     return events.select("user_id").distinct().join(cursors, "user_id", "left").select("user_id", "cursor", asked).select("user_id", "asked", K.since(F.col("asked").cast("date"), F.col("cursor"), 3, "2024-01-01").cast("string").alias("since"))
+
+
+@query(
+    "cost_guard",
+    "WITH i AS (SELECT l_returnflag || l_linestatus AS run, {'c': round(l_extendedprice * 100)::BIGINT, 'spent': 0::BIGINT, 'n': 0::BIGINT, 'last': l_orderkey * 10 + l_linenumber} AS x FROM lineitem), "
+    "r AS (SELECT run, count(*) AS items, list(x ORDER BY x.last) AS x FROM i GROUP BY run), "
+    "f AS (SELECT run, items, list_reduce(list_prepend({'c': 0::BIGINT, 'spent': 0::BIGINT, 'n': 0::BIGINT, 'last': -1::BIGINT}, x), lambda a, b: CASE WHEN a.spent + b.c <= 20000000000 THEN {'c': 0::BIGINT, 'spent': a.spent + b.c, 'n': a.n + 1, 'last': b.last} ELSE a END) AS a FROM r) "
+    "SELECT run, items, a.n AS accepted, a.spent AS spent, a.last AS last_accepted FROM f",
+)
+def cost_guard(spark: SparkSession, sf: str) -> DataFrame:
+    """Items in order, each accepted if the run's costs stay within 200 million; a rejected one adds nothing. Two runs have most items."""
+    items = read(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("run"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+    out = guard(items, "run", ["item"], F.col("cents"), F.lit(20_000_000_000))
+    took = F.col("accepted")
+    return out.groupBy("run").agg(F.count("*").alias("items"), F.count_if(took).alias("accepted"), F.max("spent").alias("spent"), F.coalesce(F.max(F.when(took, F.col("item"))), F.lit(-1)).alias("last_accepted"))
