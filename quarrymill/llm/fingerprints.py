@@ -91,38 +91,39 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), F.lit(1.0)).when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(share)
 
 
-def _bucket(value: Column, bounds: list) -> Column:
-    """Number of bounds at most value, by binary search; null values come last."""
+def _bucket(value: Column, bounds: list[Column]) -> Column:
+    """Number of bounds at most value, by binary search."""
     if not bounds:
         return F.lit(0)
-    height = len(bounds).bit_length()
-    table = F.array(*[F.lit(b) for b in bounds])
-    halves = F.array(*[F.lit(1 << k) for k in reversed(range(height))])
-    found = F.aggregate(halves, F.lit(0), lambda lo, s: F.when(F.get(table, lo + s - 1) <= value, lo + s).otherwise(lo))
-    return F.when(value.isNull(), F.lit(len(bounds) + 1)).otherwise(found)
+    table = F.array(*bounds)
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(halves, F.lit(0), lambda lo, s: F.when(F.get(table, lo + s - 1) <= value, lo + s).otherwise(lo))
 
 
 def neighbour_fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprint of each text, of its edited text, and their likenesses.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or
-    all) of the next document in ascending order of id (null ids last, equal ids by text, null
-    text as empty); after the last comes the first. Alone, a document follows itself.
+    all) of the next document in ascending order of id (null ids last, equal ids by a hash of the text and then as the
+    files have them, null text as empty); after the last comes the first. Alone, a document follows itself. Ids may be of any type that can be ordered.
 
-    The order is made of ranges of ids, eight for each shuffle partition, so that the rows of one
-    window, and what hashing deals to one task, stay small; a small table adds what follows each range.
-    No documents, no rows.
+    The order is made of ranges, eight for each shuffle partition, so that the rows of one window, and what hashing deals to one task, stay
+    small, also where many rows share an id or have none; a small table adds what follows each range. No documents, no rows. `docs` must be replayable.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    key = {"none": F.col("doc_id").isNull(), "doc_id": F.col("doc_id"), "hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()}
+    base = base.withColumn("key", F.struct(*[c.alias(n) for n, c in key.items()]))
     ranges = min(1 << 14, partitions(spark, 8))
-    bounds = base.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else None
-    base = base.withColumn("range", _bucket(F.col("doc_id"), sorted(set(bounds or []))))
-
-    # The first document of each range: at most 2**14 + 1 ids, so a broadcast has a size bound.
-    first_ids = base.groupBy("range").agg(F.min("doc_id").alias("first_id")).withColumnRenamed("range", "first_range")
-    first_of = base.join(F.broadcast(first_ids), (base["range"] == first_ids["first_range"]) & base["doc_id"].eqNullSafe(first_ids["first_id"]))
-    first_of = first_of.groupBy("range").agg(F.min("text").alias("text"))
+    parts = base.select("key.*").repartitionByRange(ranges, *key).groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct(*key)).alias("least"))
+    kinds = [f.dataType.simpleString() for f in base.schema["key"].dataType]
+    least = sorted((tuple(r["least"]) for r in parts.collect()), key=lambda k: (k[0], 0 if k[1] is None else k[1], k[2:]))  # a key for each range
+    bounds = [F.struct(*[F.lit(x).cast(t).alias(n) for n, x, t in zip(key, k, kinds, strict=True)]) for k in least[1:]]
+    base = base.withColumn("range", _bucket(F.col("key"), bounds))
+
+    # The first document of each range: at most 2**14 rows, so a broadcast has a size bound.
+    first_rows = spark.createDataFrame([(k[3],) for k in least], "first_row long")
+    first_of = base.join(F.broadcast(first_rows), base["key.row"] == first_rows["first_row"]).select("range", "text")
     first_of = with_fingerprint(first_of, F.col("text"), "bins").select("range", F.struct("text", "bins").alias("doc"))
     base = with_fingerprint(base, F.col("text"), "bins")
     # One row for each range: what follows the last document of the range before it.
@@ -130,7 +131,7 @@ def neighbour_fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     after = first_of.withColumn("next_doc", F.lead("doc").over(every)).withColumn("next_doc", F.coalesce("next_doc", F.first("doc").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     after = after.select(F.col("range").alias("after_range"), F.col("next_doc.text").alias("after_text"), F.col("next_doc.bins").alias("after_bins"))
 
-    order = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_last(), "text")
+    order = Window.partitionBy("range").orderBy("key")
     seen = base.withColumns({"next_text": F.lead("text").over(order), "next_bins": F.lead("bins").over(order), "more": F.lead(F.lit(True)).over(order)})
     seen = seen.join(after, seen["range"] == after["after_range"], "left")
     seen = seen.select("doc_id", "text", "bins", F.when(F.col("more"), F.col("next_text")).otherwise(F.col("after_text")).alias("next_text"), F.when(F.col("more"), F.col("next_bins")).otherwise(F.col("after_bins")).alias("next_bins"))

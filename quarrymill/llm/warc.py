@@ -171,6 +171,9 @@ def write_archive(pages: DataFrame, root: str, *, page_id: str = "page_id", url:
     ordered = captures.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     ordered.mapInArrow(index, "first_key string, last_key string, file string, place long, length long, lines long").write.parquet(f"{root}/directory")
 
+#: Captures that a look-up hands on together.
+HITS_AT_ONCE = 4096
+
 
 class _Files:
     """Byte ranges of files under a root, the last file kept open."""
@@ -222,10 +225,13 @@ def lookup(spark: SparkSession, root: str, wanted: DataFrame, *, page_id_type: s
     the payload read; one that differs from its header raises.
     """
 
+    def located(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"file": pa.array([x[0] for x in out], pa.string()), "place": pa.array([x[1] for x in out], pa.int64()), "length": pa.array([x[2] for x in out], pa.int64())})
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, now, lines = _Files(root), None, []
         for batch in batches:
-            out = []
+            out: list[list] = []
             for r in batch.to_pylist():
                 if now != (r["file"], r["place"]):
                     now = r["file"], r["place"]
@@ -234,7 +240,10 @@ def lookup(spark: SparkSession, root: str, wanted: DataFrame, *, page_id_type: s
                 while at < len(lines) and (line := json.loads(lines[at]))[0] == r["key"]:
                     out.append(line[1:4])
                     at += 1
-            yield pa.RecordBatch.from_pydict({"file": pa.array([x[0] for x in out], pa.string()), "place": pa.array([x[1] for x in out], pa.int64()), "length": pa.array([x[2] for x in out], pa.int64())})
+                    if len(out) == HITS_AT_ONCE:  # a key may fill many blocks
+                        yield located(out)
+                        out = []
+            yield located(out)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = _Files(root)

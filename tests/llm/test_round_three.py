@@ -235,3 +235,69 @@ def test_quality_of_odd_tables(spark):
     assert fertility.quality_table(frame(spark, ["x"]).limit(0), *paths).count() == 0
     [r] = fertility.quality_table(frame(spark, [None], [None]), *paths).collect()
     assert r["doc_id"] is None and r["base_failed"] and not r["kept"] and r["rejected_by"] is None
+
+
+def brute_fingerprint(text):
+    """Bins of the least shingle hashes, empty ones densified, by loops; hashes by Spark's xxhash64 are given."""
+    from quarrymill.llm import fingerprints as fp
+
+    def make(hashes):
+        if not hashes:
+            return None
+        value_bits = fp._VALUE_BITS
+        bins = {}
+        for h in hashes:
+            b, v = h & (fp.BINS - 1), (h % (1 << 64)) >> (64 - value_bits)
+            bins[b] = min(v, bins.get(b, v))
+        out = []
+        for j in range(fp.BINS):
+            start, step = fp._ORDERS[j]
+            at = j if j in bins else next((start + step * t) % fp.BINS for t in range(fp.BINS) if (start + step * t) % fp.BINS in bins)
+            out.append(bins[at] & ((1 << fp.BITS) - 1))
+        return out
+
+    return make(text)
+
+
+def test_fingerprints_against_loops(spark):
+    from quarrymill.llm import fingerprints as fp
+
+    rng = random.Random(4)
+    texts = [None, "", "one", "One two  three", *[" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 30)) for _ in range(rng.choice([4, 5, 6, 20, 150, 900]))) for _ in range(40)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = fp.with_fingerprint(df, F.col("text"), "bins").collect()
+    asked = [(r["doc_id"], i, g) for r in rows for w in [WORDS((r["text"] or "").lower())] for i, g in enumerate([w[k : k + 5] for k in range(len(w) - 4)] if len(w) >= 5 else [w] if w else [])]
+    whole = spark.createDataFrame([(d, i, g) for d, i, g in asked if len(g) == 5], "d int, i int, g array<string>").select("d", "i", F.xxhash64(*[F.get("g", F.lit(k)) for k in range(5)]).alias("h")).collect()
+    short = spark.createDataFrame([(d, i, g) for d, i, g in asked if len(g) < 5], "d int, i int, g array<string>").select("d", "i", F.aggregate("g", F.lit(0).cast("long"), lambda h, w: F.xxhash64(h, w)).alias("h")).collect()
+    hashes = {}
+    for r in [*whole, *short]:
+        hashes.setdefault(r["d"], []).append(r["h"])
+    for r in rows:
+        assert r["bins"] == brute_fingerprint(hashes.get(r["doc_id"])), r["text"]
+    some = {r["doc_id"]: r["bins"] for r in rows}
+    pairs = [(a, b) for a in list(some)[:20] for b in list(some)[:20]]
+    got = spark.createDataFrame([(a, b, some[a], some[b]) for a, b in pairs], "a int, b int, x array<int>, y array<int>").select("a", "b", fp.likeness(F.col("x"), F.col("y")).alias("l")).collect()
+    for r in got:
+        x, y = some[r["a"]], some[r["b"]]
+        equal = 1.0 if x is None and y is None else 0.0 if x is None or y is None else max(0.0, (sum(p == q for p, q in zip(x, y, strict=True)) / 128 - 1 / 256) / (1 - 1 / 256))
+        assert abs(r["l"] - equal) < 1e-12
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_fingerprints_of_neighbours(spark, kind):
+    from quarrymill.llm import fingerprints as fp
+
+    texts = [None, "", *["t%d " % i * (1 + i % 40) for i in range(120)]]
+    ids = [None if i % 3 == 0 else 5 if i % 5 == 0 else i for i in range(len(texts))]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, key string, row string").withColumn("doc_id", F.col("doc_id").cast(kind)).repartition(4)
+    shown = df.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    assert len({r["h"] for r in shown}) == len(texts) - 1  # null and empty are one text
+    order = sorted(shown, key=lambda r: (r["doc_id"] is None, r["doc_id"] if r["doc_id"] is not None else ("" if kind == "string" else 0), r["h"]))
+    want = Counter()
+    for i, r in enumerate(order):
+        t, after = r["t"], order[(i + 1) % len(order)]["t"]
+        half = len(t) // 2
+        want[r["doc_id"], len(t), sha(t[: len(t) - half] + after[:half])] += 1
+    got = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fp.neighbour_fingerprints(df).collect())
+    assert got == want
+    assert fp.neighbour_fingerprints(df.limit(0)).count() == 0
