@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions.text import tokens
+from quarrymill.sources.shared import write_once
 
 
 def by_type(feedback: DataFrame, *more: str) -> DataFrame:
@@ -195,8 +196,8 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     `order` must tell rows apart.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
-    placed = placed.withColumn("at", F.col("at") - F.shiftleft(F.col("part").cast("long"), 33))
+    placed = write_once(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "numbered")  # ranges are sampled: pinned, as they are read twice
+    placed = placed.withColumn("part", F.shiftright("at", 33)).withColumn("at", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = placed.groupBy("part").agg(F.count("*").alias("rows"))
     before = sizes.withColumn("before", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("rows")  # a row for each partition
     return placed.join(F.broadcast(before), "part").withColumn(name, F.col("at") + F.col("before") + 1).drop("part", "at", "before")

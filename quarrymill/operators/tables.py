@@ -54,9 +54,17 @@ def carried_sections(lines: DataFrame, key: str, pos: str, heading: Column) -> D
 def overlap_join(expected: DataFrame, found: DataFrame, *, share: float = 0.3, least: int = 3) -> DataFrame:
     """Pairs (item_id, doc_id, shared) whose texts share at least max(1, floor(share * distinct words of the item)) words.
 
-    An inverted-index join: pairs meet on a shared word, never by a cross product.
+    An item of n words that must share k has one of its n - k + 1 rarest words in every text that it matches. So pairs meet on those words only: what
+    most texts say brings none together. Pairs that meet are then counted exactly, each once. Null texts have no words.
     """
-    e = expected.select("item_id", F.array_distinct(tokens(F.col("text"), least)).alias("w")).withColumn("need", F.greatest(F.lit(1), F.floor(F.size("w") * F.lit(share)).cast("int")))
-    e = e.select("item_id", "need", F.explode("w").alias("word"))
-    d = found.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text"), least))).alias("word"))
-    return d.join(e, "word").groupBy("item_id", "doc_id", "need").agg(F.count("*").alias("shared")).where("shared >= need").select("item_id", "doc_id", "shared")
+    e = expected.select("item_id", F.array_distinct(tokens(F.col("text"), least)).alias("words")).where(F.size("words") > 0)
+    e = e.withColumn("need", F.greatest(F.lit(1), F.floor(F.size("words") * F.lit(share)).cast("int")))
+    d = found.select("doc_id", F.array_distinct(tokens(F.col("text"), least)).alias("said"))
+    said = d.select("doc_id", F.explode("said").alias("word"))
+    asked = e.select("item_id", F.explode("words").alias("word"))
+    seen = said.groupBy("word").agg(F.count("*").alias("n"))
+    ranked = asked.join(seen, "word").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("known"))  # the words of one item
+    rare = ranked.join(e, "item_id").select("item_id", F.explode(F.slice("known", F.lit(1), F.greatest(F.lit(0), F.size("known") - F.col("need") + 1))).alias("x")).select("item_id", "x.word")
+    pairs = said.join(rare, "word").select("item_id", "doc_id").distinct()
+    counted = pairs.join(e, "item_id").join(d, "doc_id").select("item_id", "doc_id", "need", F.size(F.array_intersect("words", "said")).cast("long").alias("shared"))
+    return counted.where("shared >= need").select("item_id", "doc_id", "shared")

@@ -419,17 +419,16 @@ def recommended_flag(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(last, "conv_id").select("conv_id", "turn", F.coalesce(F.col("turn") == F.col("last"), F.lit(False)).alias("recommended"))
 
 
-@query("timeline", "SELECT 'order' AS kind, o_orderkey AS id, o_orderdate::DATE::VARCHAR AS day FROM orders UNION ALL SELECT 'shipment', l_orderkey * 10 + l_linenumber, l_shipdate::DATE::VARCHAR FROM lineitem UNION ALL SELECT 'event', event_id, ts::DATE::VARCHAR FROM events")
+@query("timeline", "SELECT 'order' AS kind, o_orderkey::VARCHAR AS id, o_orderdate::DATE::VARCHAR AS day FROM orders UNION ALL SELECT 'shipment', l_orderkey || '-' || l_linenumber || '-' || l_partkey, l_shipdate::DATE::VARCHAR FROM lineitem UNION ALL SELECT 'event', event_id::VARCHAR, ts::DATE::VARCHAR FROM events ORDER BY day DESC, kind, id")
 def timeline(spark: SparkSession, sf: str) -> DataFrame:
-    one = lambda t, kind, i, at: read(spark, sf, t).select(F.lit(kind).alias("kind"), i.cast("long").alias("id"), F.to_date(at).cast("string").alias("day"))
-    return one("orders", "order", F.col("o_orderkey"), "o_orderdate").unionByName(one("lineitem", "shipment", F.col("l_orderkey") * 10 + F.col("l_linenumber"), "l_shipdate")).unionByName(one("events", "event", F.col("event_id"), "ts"))
+    one = lambda t, kind, i, at: read(spark, sf, t).select(F.lit(kind).alias("kind"), i.cast("string").alias("id"), F.to_date(at).cast("string").alias("day"))
+    return one("orders", "order", F.col("o_orderkey"), "o_orderdate").unionByName(one("lineitem", "shipment", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"), "l_shipdate")).unionByName(one("events", "event", F.col("event_id"), "ts")).orderBy(F.desc("day"), "kind", "id")
 
 
 @query("review_sample", "WITH c AS (SELECT l.doc_id, source, quality FROM labels l JOIN documents d ON l.doc_id = d.doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY source, quality ORDER BY doc_id) AS q, 0 AS z FROM c), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY q > 1, quality DESC, doc_id)::INT AS place FROM r) SELECT source, doc_id, quality, place FROM o WHERE place <= 5")
 def review_sample(spark: SparkSession, sf: str) -> DataFrame:
     """Of each source one good and one poor case first, then by id, five in all."""
     c = read(spark, sf, "labels").select("doc_id", "quality").join(read(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    c = tables.top_children(c, "source", [F.col("doc_id")], 1 << 30).drop("place")
     first = c.groupBy("source", "quality").agg(F.min("doc_id").alias("first"))
     c = c.join(first, ["source", "quality"]).withColumn("rest", F.col("doc_id") != F.col("first"))
     return tables.top_children(c, "source", [F.col("rest"), F.desc("quality"), F.col("doc_id")], 5).select("source", "doc_id", "quality", "place")
