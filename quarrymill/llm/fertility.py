@@ -169,16 +169,16 @@ def quality_table(docs: DataFrame, ranks_path: str, piece_path: str, *, doc_id:
     shares = {"chars_per_token": _per_thousand("word_chars", "n_tokens"), "tokens_per_word": _per_thousand("n_tokens", "n_words"), "fallback_share": _per_thousand("n_fallback", "n_pieces")}
     size = F.floor(4 * F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")  # quarter octaves
     found = materialise(found.withColumns({"base_failed": failed, "size_class": size, **shares}), "measures")
-    usual = quantiles(found.where("not base_failed"), ["lang", "size_class"], "entropy", {"usual": 0.5})
+    usual = materialise(quantiles(found.where("not base_failed"), ["lang", "size_class"], "entropy", {"usual": 0.5}), "usual")  # its size on disk decides how it is joined
     held = materialise(found.join(usual, ["lang", "size_class"], "left").withColumn("entropy_excess", F.col("entropy") - F.col("usual")).drop("usual", "size_class"), "excess")
-    forget(found)
+    forget(found, usual)
     passed, bands = held.where("not base_failed"), None
     for name, (down, up) in BANDS.items():
         spread = F.greatest(F.col("_q3") - F.col("_q1"), F.lit(LEAST_SPREAD[name]))
         edge = lambda q, k, spread=spread: F.lit(None).cast("double") if k is None else F.col(q) + k * spread
         one = quantiles(passed, ["lang"], name, {"_q1": 0.25, "_q3": 0.75}).select("lang", edge("_q1", None if down is None else -down).alias(f"{name}_low"), edge("_q3", up).alias(f"{name}_high"))
         bands = one if bands is None else bands.join(one, "lang")
-    bands = materialise(bands, "bands")  # a row for each language; its size on disk decides how it is joined
+    bands = materialise(bands, "bands")  # a row for each language
     outside = [F.when((F.col(n) < F.col(f"{n}_low")) | (F.col(n) > F.col(f"{n}_high")), n) for n in BANDS]
     judged = held.join(bands, "lang", "left").withColumn("rejected_by", F.when(~F.col("base_failed"), F.coalesce(*outside)))
     shown = [F.when(~F.col("base_failed"), F.col(n)).alias(n) for n in BANDS]

@@ -22,7 +22,8 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    kept = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")  # a cut may lie within a character
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
