@@ -6,7 +6,7 @@ import os
 import pandas as pd
 import pytest
 
-from quarrymill.plans import coverages, drafts, evaluation, integrity, records, retrieval, stances, stores, texts  # noqa: F401
+from quarrymill.plans import audits, coverages, drafts, evaluation, integrity, records, retrieval, stances, stores, texts  # noqa: F401
 from quarrymill.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
