@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.functions.text import ascii_edges, fold
+from quarrymill.functions.text import ascii_edges, fold, found as has_any
 
 _GAP = "\x01"  # no pattern crosses it
 
@@ -38,7 +38,7 @@ def windows(text: Column, pattern: str, before: int, after: int) -> Column:
 
 
 def _matches(text: Column, patterns: list[str]) -> Column:
-    return sum((text.rlike(ascii_edges(p)).cast("int") for p in patterns), F.lit(0))
+    return sum((has_any(text, p).cast("int") for p in patterns), F.lit(0))
 
 
 def skipped(text: Column, blanks: str, cited: list[str], piece: list[str], least: int = 800) -> Column:
@@ -75,8 +75,8 @@ def pair_findings(split: DataFrame, rules: list[Pair], key: str = "doc_id") -> D
     reason, outcome = F.col("reasoning"), F.col("outcome")
 
     def fires(r: Pair) -> Column:
-        test = reason.rlike(ascii_edges(r.reason)) & outcome.rlike(ascii_edges(r.outcome))
-        return test & ~reason.rlike(ascii_edges(r.veto)) if r.veto else test
+        test = has_any(reason, r.reason) & has_any(outcome, r.outcome)
+        return test & ~has_any(reason, r.veto) if r.veto else test
 
     return split.select(key, F.explode(F.array_compact(F.array(*[F.when(fires(r), r.code) for r in rules]))).alias("code"))
 
@@ -101,7 +101,7 @@ def form_findings(drafts: DataFrame, text: str, kind: str, forms: list[Form], ke
 
 
 def _topics(text: Column, topics: dict[str, str]) -> Column:
-    return F.array_compact(F.array(*[F.when(text.rlike(ascii_edges(p)), name) for name, p in topics.items()]))
+    return F.array_compact(F.array(*[F.when(has_any(text, p), name) for name, p in topics.items()]))
 
 
 class Requests(NamedTuple):
@@ -128,7 +128,7 @@ def request_findings(split: DataFrame, r: Requests, key: str = "doc_id") -> Data
     asked = offset(pre, r.section)
     scope = F.when(asked.isNotNull(), span(pre, asked)).otherwise(F.array_join(windows(pre, r.verbs, 0, 400), _GAP))
     base = split.select(key, "reasoning", "outcome", scope.alias("scope"), F.array_join(windows(out, r.actions, 20, 200), _GAP).alias("acts"), offset(pre, r.fallback).alias("sub"))
-    blanket, acts = out.rlike(ascii_edges(r.blanket)), out.rlike(ascii_edges(r.actions))
+    blanket, acts = has_any(out, r.blanket), has_any(out, r.actions)
     base = base.select(
         key, "reasoning", "outcome", blanket.alias("blanket"), acts.alias("active"), _topics(F.col("scope"), r.topics).alias("asked"), _topics(F.col("acts"), r.topics).alias("granted"),
         _topics(out, r.topics).alias("met"), F.coalesce(_topics(span(pre, F.col("sub"), 500), r.topics), F.array().cast("array<string>")).alias("second"),
@@ -140,7 +140,7 @@ def request_findings(split: DataFrame, r: Requests, key: str = "doc_id") -> Data
 
     none = F.array().cast("array<string>")
     some = lambda test, a: F.when(test, a).otherwise(none)
-    injunction = pre.rlike(ascii_edges(r.injunction)) & ~out.rlike(ascii_edges(r.injunction_met))
+    injunction = has_any(pre, r.injunction) & ~has_any(out, r.injunction_met)
     found = {
         "UNADDRESSED_MAIN_REQUEST": some(~F.col("blanket") & F.col("active"), F.array_except("asked", "met")),
         "UNADDRESSED_SUBSIDIARY_REQUEST": some(~F.col("blanket"), F.array_except("second", "met")),
