@@ -36,7 +36,7 @@ _HEADS = ["", "Resposta: ", "```json\n", "a \" b ", "\\ ", "[1] "]
 
 @query(
     "json_in_text",
-    "SELECT event_id, CASE WHEN event_id % 7 < 6 THEN json_extract_string(props, '$.k')::INT END AS k, CASE WHEN event_id % 7 < 6 THEN '}{\"' || event_type END AS note FROM events",
+    "SELECT event_id, CASE WHEN event_id % 7 < 6 THEN json_extract_string(props, '$.k')::INT ELSE -1 END AS k, CASE WHEN event_id % 7 < 6 THEN '}{\"' || event_type ELSE 'none' END AS note FROM events",
 )
 def json_in_text(spark: SparkSession, sf: str) -> DataFrame:
     """Objects found again in texts that hold them among other things; every seventh is cut before its end."""
@@ -46,7 +46,7 @@ def json_in_text(spark: SparkSession, sf: str) -> DataFrame:
     pick = lambda xs: F.get(F.array(*map(F.lit, xs)), (i % 6).cast("int"))
     text = F.concat(pick(_HEADS), body, F.when(i % 7 < 6, pick(_TAILS)).otherwise(""))
     v = R.first_json(F.col("t"))
-    return read(spark, sf, "events").select("event_id", text.alias("t")).select("event_id", v.alias("v")).select("event_id", F.try_variant_get("v", "$.k", "int").alias("k"), F.try_variant_get("v", "$.note", "string").alias("note"))
+    return read(spark, sf, "events").select("event_id", text.alias("t")).select("event_id", v.alias("v")).select("event_id", F.coalesce(F.try_variant_get("v", "$.k", "int"), F.lit(-1)).alias("k"), F.coalesce(F.try_variant_get("v", "$.note", "string"), F.lit("none")).alias("note"))
 
 
 _REC = (

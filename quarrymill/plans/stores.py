@@ -101,13 +101,13 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "stream_counts",
     "SELECT count(*) FILTER (value >= 5) AS inserted, count(*) FILTER (value >= 5 AND event_type = 'click') AS updated, (count(*) FILTER (NOT coalesce(value >= 5, false)) + count(*) FILTER (NOT coalesce(value >= 5, false) AND event_type = 'click'))::BIGINT AS failed, "
-    "(max(ts) FILTER (value >= 5))::DATE - 3 AS since FROM events",
+    "((max(ts) FILTER (value >= 5))::DATE - 3)::VARCHAR AS since FROM events",
 )
 def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
     """What the batches did in all, and the day from which the feed would be read again."""
     table = _ingested(spark, sf)
     sums = [F.sum(c).alias(c) for c in ("inserted", "updated", "failed")]
-    return table.history().agg(*sums).withColumn("since", F.lit(ingest.since(table, "events", 3, "2024-01-01")).cast("date"))
+    return table.history().agg(*sums).withColumn("since", F.lit(ingest.since(table, "events", 3, "2024-01-01")))
 
 
 @query("stream_reconcile", "SELECT count(*) FILTER (coalesce(value < 5, true)) AS lacking, 0::BIGINT AS after_retry FROM events")
