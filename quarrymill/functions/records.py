@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.functions.text import clean, fold, html_to_text
+from quarrymill.functions.text import ascii_edges, clean, fold, html_to_text
 
 # Files
 
@@ -152,3 +152,37 @@ def repaired(records: DataFrame, repairs: DataFrame, key: str, fields: dict[str,
         takes[f] = offer.isNotNull() & wanted
     columns = [F.when(takes[c], F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in records.columns]
     return both.select(*columns, F.coalesce(reduce(Column.__or__, takes.values()), F.lit(False)).alias("changed"))
+
+
+# Page text
+
+_CAPITALS = "[A-ZÀ-ÖØ-Þ]{4,}"
+
+
+def undoubled(text: Column) -> Column:
+    """Runs of capitals in which every letter stands twice, as scans leave them, with each letter once; other runs stay."""
+    between, runs = F.split(text, _CAPITALS, -1), F.regexp_extract_all(text, F.lit(_CAPITALS), F.lit(0))
+    once = F.transform(runs, lambda r: F.when(r.rlike(r"^(?:(.)\1)+$"), F.regexp_replace(r, r"(.)\1", "$1")).otherwise(r))
+    return F.array_join(F.transform(F.arrays_zip(between.alias("gap"), once.alias("run")), lambda x: F.concat(x["gap"], F.coalesce(x["run"], F.lit("")))), "")
+
+
+def flattened(text: Column, headers: tuple[str, ...] = (), rejoin: bool = True) -> Column:
+    """Lines as one, words that a hyphen broke at a line's end as one, headers off, single spaces."""
+    out = F.regexp_replace(F.replace(text, F.lit("\n"), F.lit(" ")), " {2,}", " ")
+    if rejoin:
+        out = F.regexp_replace(out, "([A-Za-zÀ-ÿ])- ([A-Za-zÀ-ÿ])", "$1$2")
+    for header in headers:
+        out = F.regexp_replace(out, header, " ")
+    return clean(F.regexp_replace(F.regexp_replace(out, " {2,}", " "), r" \.", "."))
+
+
+#: What opens a section: a thesis, a number, a Roman numeral, a line of capitals after an article, or one of these words.
+SECTION_MARKS = (
+    r"\bTese\s+\d+|^\s*\d+\.\s+\S|^\s*[IVX]+\s*[.\x{2014}\x{2013}\-\):;]|\b[IVX]{1,4}\s*[\x{2014}\x{2013}\-\.\)]\s+[A-ZÁÀÂÃÉÊÍÓÔÕÚa-záàâãéêíóôõú]|^\s*D[AO]S?\s+[A-Z\x{00C0}-\x{00D6}\x{00D8}-\x{00DE}]{3}"
+    r"|^\s*(?:RELAT[OÓ]RIO|FUNDAMENTA[CÇ][AÃ]O|DISPOSITIVO|PEDIDOS?|CONCLUS[AÃ]O|S[IÍ]NTESE|PRE[AÂ]MBULO|CABE[CÇ]ALHO|HIST[OÓ]RICO|PROVAS?|DIREITO|M[EÉ]RITO"
+    r"|MOTIVA[CÇ][AÃ]O|DO\s+M[EÉ]RITO|DA\s+CAUSA|DOS\s+FATOS?|DO\s+DIREITO|DA\s+FUNDAMENTA|DOS\s+PEDIDOS?|DOS\s+FUNDAMENTOS?|DA\s+CONCLUS[AÃ]O)\b"
+)
+
+
+def section_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("(?imu)" + ascii_edges(SECTION_MARKS)))

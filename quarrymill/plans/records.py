@@ -117,3 +117,24 @@ def quality_summary(spark: SparkSession, sf: str) -> DataFrame:
 def quality_top_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Fatal rules overall and by theme, all rules by validator."""
     return Q.top_rules(_run(spark, sf), Q.validator_of(F.col("rule")))
+
+
+_OPENERS = ["I - DOS FATOS", "1. Primeiro", "Tese 2", "relatório", "DO MÉRITO", "nada", "II – Do Direito; Tese 4"]
+_PAGE = f"replace(coalesce(text, ''), '. ', '-' || chr(10)) || chr(10) || {_OPENERS}[(doc_id % {len(_OPENERS)})::INT + 1] || chr(10) || 'TTRRIIBBUUNNAALL DDE AABBCC ÇÇÃÃOO  Página 3 .'"
+
+
+@query(
+    "page_texts",
+    f"WITH d AS (SELECT doc_id, {_PAGE} AS t FROM documents), "
+    "h AS (SELECT doc_id, t, string_split_regex(t, '[A-ZÀ-ÖØ-Þ]{4,}') AS gaps, list_transform(regexp_extract_all(t, '[A-ZÀ-ÖØ-Þ]{4,}'), lambda r: CASE WHEN len(r) % 2 = 0 AND string_split(r, '')[1:-1:2] = string_split(r, '')[2:-1:2] THEN array_to_string(string_split(r, '')[1:-1:2], '') ELSE r END) AS runs FROM d), "
+    "u AS (SELECT doc_id, t, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(runs[i], '')), '') AS u FROM h), "
+    "f AS (SELECT *, regexp_replace(replace(u, chr(10), ' '), ' {2,}', ' ', 'g') AS a FROM u), g AS (SELECT *, regexp_replace(regexp_replace(a, '([A-Za-zÀ-ÿ])- ([A-Za-zÀ-ÿ])', '\\1\\2', 'g'), 'Página [0-9]+', ' ', 'g') AS b FROM f) "
+    f"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(b, ' {{2,}}', ' ', 'g'), ' \\.', '.', 'g'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) AS flat, len(regexp_extract_all(t, '(?im){R.SECTION_MARKS}'))::INT AS sections FROM g",
+)
+def page_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as scans leave them: doubled capitals mended, lines flattened, headers off; and how many sections they open."""
+    opener = F.get(F.array(*map(F.lit, _OPENERS)), (F.col("doc_id") % len(_OPENERS)).cast("int"))
+    page = F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit("-\n")), F.lit("\n"), opener, F.lit("\nTTRRIIBBUUNNAALL DDE AABBCC ÇÇÃÃOO  Página 3 ."))
+    pages = read(spark, sf, "documents").select("doc_id", page.alias("t"))
+    flat = R.flattened(R.undoubled(F.col("t")), ("Página [0-9]+",))
+    return pages.select("doc_id", F.md5(F.encode(flat, "UTF-8")).alias("flat"), R.section_count(F.col("t")).alias("sections"))

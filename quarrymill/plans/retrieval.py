@@ -9,7 +9,7 @@ from quarrymill.functions import portuguese
 from quarrymill.functions.text import tokens
 from quarrymill.operators import index as I
 from quarrymill.plans.catalog import _BM25, TERMS, query, read, tokens_sql
-from quarrymill.sources.shared import fresh_path
+from quarrymill.sources.shared import Store, fresh_path
 
 WEIGHTS = {"head": 2.0, "body": 1.0}
 _built: dict[tuple, I.Index] = {}
@@ -18,7 +18,7 @@ _built: dict[tuple, I.Index] = {}
 def _index(spark: SparkSession, sf: str, language: str | None = None) -> I.Index:
     """The index over documents: first line and whole text. A session builds it once for each folder."""
     at = (spark.sparkContext.applicationId, sf, language)
-    if at not in _built:
+    if at not in _built or not Store(spark, _built[at].path).exists(f"{_built[at].path}/totals/_SUCCESS"):  # the shared folder may have been cleared
         split = portuguese.words if language else tokens
         fields = {"head": split(F.substring_index("text", "\n", 1)), "body": split(F.col("text"))}
         _built[at] = I.build(read(spark, sf, "documents"), "doc_id", fields, fresh_path(spark, "index"), stored=["lang", "source"], stem=portuguese.stem if language else None)

@@ -104,3 +104,25 @@ def test_quality_run(spark):
 @pytest.mark.parametrize("rule, name", [("EVIDENCE_X", "EvidenceAnalyzer"), ("JEF_JEC_WRONG_APPEAL", "AppealValidator"), ("JEF_OTHER", "JefCivelValidator"), ("STANCE_CONTRADICTION_JEF", "EvidenceAnalyzer"), ("WRONG_HONORARIOS", "LegalValidator"), ("nothing", "Other")])
 def test_validators(spark, rule, name):
     assert spark.range(1).select(Q.validator_of(F.lit(rule))).first()[0] == name
+
+
+DOUBLED = re.compile("[A-Z\xc0-\xd6\xd8-\xde]{4,}")
+
+
+def test_pages(spark):
+    rng = random.Random(2)
+    texts = ["TTRRIIBBUUNNAALL DDEE JJUUSSTTIIÇÇAA", "AABB AABBC ABAB AA x", "palavra que- brada  e\nlinha .  fim", "12- 34", "", *["".join(rng.choice("AAABBÇ a\n-.") for _ in range(30)) for _ in range(60)]]
+    one = lambda m: m[0][::2] if len(m[0]) % 2 == 0 and all(m[0][i] == m[0][i + 1] for i in range(0, len(m[0]), 2)) else m[0]
+
+    def flat(t):
+        t = re.sub(r" {2,}", " ", t.replace("\n", " "))
+        t = re.sub("([A-Za-z\xc0-\xff])- ([A-Za-z\xc0-\xff])", r"\1\2", t)
+        return re.sub(r" +", " ", re.sub(r" \.", ".", re.sub(r" {2,}", " ", t))).strip()
+
+    for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", R.undoubled(F.col("t")).alias("u"), R.flattened(F.col("t")).alias("f")).collect():
+        assert (r["u"], r["f"]) == (DOUBLED.sub(one, texts[r["i"]]), flat(texts[r["i"]])), texts[r["i"]]
+
+
+@pytest.mark.parametrize("text, n", [("Tese 1 e tese 2", 2), ("1. Um\n2. Dois\nx 3. y", 2), ("I – DOS FATOS", 1), ("no meio II - do direito", 1), ("DO MÉRITO\nrelatório\nConclusão", 3), ("nada", 0), ("", 0)])
+def test_sections(spark, text, n):
+    assert spark.range(1).select(R.section_count(F.lit(text))).first()[0] == n
