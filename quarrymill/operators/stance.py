@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.functions.text import ascii_edges
+from quarrymill.functions.text import ascii_edges, found
 
 #: Names of precedents that one automaton holds.
 AT_ONCE = 1000
@@ -56,8 +56,8 @@ def around(text: Column, pattern: str, before: int, after: int) -> Column:
 
 
 def bits(text: Column, patterns: list[str]) -> Column:
-    """A long with bit i set if pattern i is found."""
-    return reduce(Column.bitwiseOR, [F.when(matches(text, p), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, p in enumerate(patterns)])
+    """A long with bit i set if pattern i is found in a text, a column that is lower-cased already."""
+    return reduce(Column.bitwiseOR, [F.when(found(text, p.lower()), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, p in enumerate(patterns)])
 
 
 def analyze(claims: DataFrame, authorities: DataFrame, evidence: DataFrame, premises: list[Premise], marks: Marks, case: str = "case") -> DataFrame:
@@ -69,7 +69,8 @@ def analyze(claims: DataFrame, authorities: DataFrame, evidence: DataFrame, prem
     distinguish or the claim has a subsidiary request. `premise` is the first one found, by authorities before facts; null unless blocked.
     """
     contrary = [p.contrary for p in premises]
-    t = F.coalesce(F.col("text"), F.lit(""))
+    claims, authorities, evidence = (x.withColumn("text", F.lower(F.coalesce("text", F.lit("")))) for x in (claims, authorities, evidence))
+    t = F.col("text")
     said = claims.select(case, bits(t, [p.claim for p in premises]).alias("claimed"), matches(t, marks.distinguishing).alias("own"), matches(t, marks.subsidiary).alias("subsidiary"))
     of_authorities = authorities.select(case, bits(t, contrary).alias("against"), matches(t, marks.favorable).cast("int").alias("for"))
     per_case = of_authorities.groupBy(case).agg(F.bit_or("against").alias("against"), F.max("for").alias("for"))
@@ -109,10 +110,10 @@ def citations(drafts: DataFrame, precedents: DataFrame, case: str = "case") -> D
                 draft, text, at, names_ = (batch.column(j)[i].as_py() for j in range(4))
                 if at not in automata:
                     automata.clear()  # rows of one chunk mostly come together
-                    found = automata[at] = ahocorasick.Automaton()
+                    machine = automata[at] = ahocorasick.Automaton()
                     for word in {w for n in names_ for w in (n["number"], n["court"]) if w}:
-                        found.add_word(word, word)
-                    found.make_automaton()
+                        machine.add_word(word, word)
+                    machine.make_automaton()
                 low, first = text.lower(), {}
                 for end, word in automata[at].iter(low) if len(automata[at]) else ():
                     first.setdefault(word, end - len(word) + 1)
@@ -127,9 +128,9 @@ def citations(drafts: DataFrame, precedents: DataFrame, case: str = "case") -> D
 
 def misused(drafts: DataFrame, precedents: DataFrame, strong: str, rejection: str, case: str = "case") -> DataFrame:
     """draft, id, score of contrary precedents (stance CONTRARIO) that a draft cites: 2 if the window distinguishes, 1 if it rejects the request, 0: a violation."""
-    found = citations(drafts, precedents.where("stance = 'CONTRARIO'"), case)
+    cited = citations(drafts, precedents.where("stance = 'CONTRARIO'"), case)
     w = F.col("window")
-    return found.select("draft", "id", F.when(matches(w, strong), 2).when(matches(w, rejection), 1).otherwise(0).alias("score"))
+    return cited.select("draft", "id", F.when(matches(w, strong), 2).when(matches(w, rejection), 1).otherwise(0).alias("score"))
 
 
 def article_context(text: Column, article: str, distinction: list[str], direct: list[str]) -> Column:
