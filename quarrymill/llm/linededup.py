@@ -91,17 +91,18 @@ def ranked(df: DataFrame, keys: list[str], ties: list[str], label: str) -> tuple
     out = materialise(sort.mapInArrow(mark, ", ".join(f"{n} long" for n in [*names, "place", "rank"]) + ", alone boolean"), label)
     edge = F.struct(*keys, "rank")
     ends = out.groupBy(F.shiftright("place", _PART).alias("part")).agg(F.min_by(edge, "place").alias("first"), F.max_by(edge, "place").alias("last")).orderBy("part").collect()
-    renamed, before = [], None
+    renamed, before = {}, None
     for e in ends:  # a row for each partition
         first, last = tuple(e["first"]), tuple(e["last"])
         true = before[-1] if before is not None and before[:-1] == first[:-1] else first[-1]
         if true != first[-1]:
-            renamed.append((first[-1], true))
+            renamed[e["part"]] = (first[-1], true)
         before = (*last[:-1], true if last[-1] == first[-1] else last[-1])
     if not renamed:
         return out, out
-    names_of = F.broadcast(spark.createDataFrame(renamed, "rank long, true_rank long"))
-    return out.join(names_of, "rank", "left").select(*names, "place", F.coalesce("true_rank", "rank").alias("rank"), "alone"), out
+    slots = [renamed.get(p, (None, None)) for p in range(max(renamed) + 1)]  # a rank occurs in one partition only, so its number says which to look at
+    stale, true = (F.get(F.array(*[F.lit(x[k]).cast("long") for x in slots]), F.shiftright("place", _PART).cast("int")) for k in (0, 1))
+    return out.withColumn("rank", F.when(F.col("rank") == stale, true).otherwise(F.col("rank"))).select(*names, "place", "rank", "alone"), out
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:

@@ -301,3 +301,18 @@ def test_fingerprints_of_neighbours(spark, kind):
     got = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fp.neighbour_fingerprints(df).collect())
     assert got == want
     assert fp.neighbour_fingerprints(df.limit(0)).count() == 0
+
+
+def test_ranks_of_keys_that_span_partitions_need_no_join(spark):
+    from quarrymill.llm.common import materialise
+    from quarrymill.llm.linededup import ranked
+
+    rows = [(7 if i % 3 else i, i) for i in range(4000)]
+    given = materialise(spark.createDataFrame(rows, "k long, row long"), "given")
+    out, _ = ranked(given, ["k"], ["row"], "ranks")
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.orderBy("place").collect()
+    assert [(r["k"], r["row"]) for r in got] == sorted(rows) and len({r["place"] >> 33 for r in got if r["k"] == 7}) > 1
+    places: dict = {}
+    assert all(r["rank"] == places.setdefault(r["k"], r["place"]) for r in got)
+    assert all(not r["alone"] for r in got if r["k"] == 7)
