@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.functions.text import ascii_edges, found
+from quarrymill.functions.text import ascii_edges, found, found_in_any_case
 
 #: Names of precedents that one automaton holds.
 AT_ONCE = 1000
@@ -71,14 +71,17 @@ def analyze(claims: DataFrame, authorities: DataFrame, evidence: DataFrame, prem
     contrary = [p.contrary for p in premises]
     claims, authorities, evidence = (x.withColumn("text", F.lower(F.coalesce("text", F.lit("")))) for x in (claims, authorities, evidence))
     t = F.col("text")
-    said = claims.select(case, bits(t, [p.claim for p in premises]).alias("claimed"), matches(t, marks.distinguishing).alias("own"), matches(t, marks.subsidiary).alias("subsidiary"))
-    of_authorities = authorities.select(case, bits(t, contrary).alias("against"), matches(t, marks.favorable).cast("int").alias("for"))
+    has = lambda p: found_in_any_case(t, t, p)
+    said = claims.select(case, bits(t, [p.claim for p in premises]).alias("claimed"), has(marks.distinguishing).alias("own"), has(marks.subsidiary).alias("subsidiary"))
+    of_authorities = authorities.select(case, bits(t, contrary).alias("against"), has(marks.favorable).cast("int").alias("for"))
     per_case = of_authorities.groupBy(case).agg(F.bit_or("against").alias("against"), F.max("for").alias("for"))
-    facts = evidence.select(case, "pos", bits(t, contrary).alias("fact"), matches(t, marks.distinguishing).alias("differs")).where("fact <> 0 or differs")
-    facts = facts.join(said.select(case, "claimed"), case).withColumn("hit", F.col("fact").bitwiseAND(F.col("claimed")))
-    facts = facts.withColumn("hit", F.col("hit").bitwiseAND(-F.col("hit")))  # the lowest bit
-    facts = facts.groupBy(case).agg(F.bit_or("hit").alias("facts"), F.min(F.when(F.col("hit") > 0, F.struct("pos", "hit"))).alias("first"), F.max("differs").alias("differs"))
-    both = said.join(per_case, case, "left").join(facts, case, "left")
+    # No filter on what the patterns found: it would be pushed below them, and each pattern would run twice. Equal facts of a case are one.
+    facts = evidence.select(case, "pos", bits(t, contrary).alias("fact"), has(marks.distinguishing).alias("differs"))
+    facts = facts.groupBy(case, "fact").agg(F.min(F.struct("pos")).alias("at"), F.max("differs").alias("differs"))
+    hit = F.coalesce(F.col("fact").bitwiseAND(F.col("claimed")), F.lit(0).cast("long"))
+    weighed = said.join(facts, case, "left").withColumn("hit", hit).withColumn("hit", F.col("hit").bitwiseAND(-F.col("hit")))  # the lowest bit
+    weighed = weighed.groupBy(case, "claimed", "own", "subsidiary").agg(F.bit_or("hit").alias("facts"), F.min(F.when(F.col("hit") > 0, F.struct("at.pos", "hit"))).alias("first"), F.max("differs").alias("differs"))
+    both = weighed.join(per_case, case, "left")
     by_authority = F.coalesce(F.col("against").bitwiseAND(F.col("claimed")), F.lit(0).cast("long"))
     n = F.bit_count(by_authority.bitwiseOR(F.coalesce("facts", F.lit(0).cast("long"))))
     favorable, distinguishing = F.coalesce(F.col("for"), F.lit(0)) > 0, F.col("own") | F.coalesce("differs", F.lit(False))

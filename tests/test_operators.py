@@ -80,3 +80,22 @@ def test_html_name_of_an_ampersand_cut_by_a_tag(spark):
     texts = ["a&&am<style>p{margin:0}</style>", "a&&am<b>p", "x&amp;lt;y &am<i>p;", "&am<i>p</i>\nz", "&quot<style></style>p{} &copy &notit; &copy;&#65;&#x42;\0", None]
     got = [T.html_to_text(F.lit(t)).alias(f"c{i}") for i, t in enumerate(texts)]
     assert list(spark.range(1).select(*got).first()) == ["a&&{margin:0}", "a&&", "x&lt;y &amp;", "&\nz", "&quotp{} &copy &notit; ©AB", ""]
+
+
+def test_gated_patterns_find_what_the_plain_ones_find(spark):
+    import random
+    import re
+
+    from quarrymill.plans import stances as P
+
+    patterns = [*P.MARKS, P.STRONG, P.REJECTION, *[p for x in P.PREMISES for p in (x.claim, x.contrary)], r"\b(ab+c|x(?:yz)?w)\b", r"\b(foo)(bar|quux)\b", r"(?:abc)?def", r"[(]abc|(\)x){2}yy", r"(?=abc)a"]
+    assert T.spread(patterns[-5]) == [r"\b(?:ab+c)\b", r"\b(?:x(?:yz)?w)\b"] and T.spread(patterns[-4]) == [patterns[-4]]
+    assert T.needed_literals("(?:abc)?(?!never)(?:defg|hij)k") == ["defg", "hij"] and T.needed_literals("a|bcd") == []
+    words = ["perdeu", "qualidade", "de", "segurado", "Julgo", "IMPROCEDENTE", "EC 41", "sem", "paridade", "não faz jus", "à", "ſituação", "ſituação fática distinta", "foo", "foobar", "abbc", "xw", "def", "procedente", "procedência do pedido", "JEF", "\n", "tem", "direito"]
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(words, k=6)) for _ in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("low", F.lower("t"))
+    tests = [T.found_in_any_case(F.col("t"), F.col("low"), p).alias(f"a{i}") for i, p in enumerate(patterns)] + [T.found(F.col("t"), p).alias(f"b{i}") for i, p in enumerate(patterns)]
+    plain = [F.col("t").rlike("(?iu)" + T.ascii_edges(p)) for p in patterns] + [F.col("t").rlike(T.ascii_edges(p)) for p in patterns]
+    got = rows.select(F.array(*tests).alias("gated"), F.array(*plain).alias("plain")).collect()
+    assert all(r["gated"] == r["plain"] for r in got) and any(any(r["plain"]) for r in got)
