@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.functions.text import ascii_edges
+from quarrymill.functions.text import ascii_edges, found_in_any_case
 from quarrymill.operators.stance import matches, starts
 
 BACK, AHEAD = 800, 250
@@ -37,8 +37,9 @@ def unsupported(drafts: DataFrame, rules: Integrity, key: str = "doc_id") -> Dat
     pattern = "(?iu)" + rules.conclusive
     kind = F.upper(F.coalesce("kind", F.lit("")))
     known = drafts.where(F.col("text").isNotNull()).select(key, "text", kind.alias("kind")).where((F.col("kind") == "") | F.col("kind").isin(*rules.types))
-    known = known.withColumn("n", F.char_length("text")).withColumn("decides", matches(F.col("text"), rules.decision))
-    each = known.select(key, "text", "kind", "n", "decides", F.explode(F.arrays_zip(starts(F.col("text"), pattern).alias("at"), F.regexp_extract_all("text", F.lit(ascii_edges(pattern)), F.lit(0)).alias("expression"))).alias("m"))
+    known = known.withColumn("n", F.char_length("text")).withColumn("low", F.lower("text")).withColumn("decides", found_in_any_case(F.col("text"), F.col("low"), rules.decision))
+    has = found_in_any_case(F.col("text"), F.col("low"), rules.conclusive)
+    each = known.select(key, "text", "kind", "n", "decides", F.explode(F.when(has, F.arrays_zip(starts(F.col("text"), pattern).alias("at"), F.regexp_extract_all("text", F.lit(ascii_edges(pattern)), F.lit(0)).alias("expression")))).alias("m"))
     at = F.col("m.at")
     each = each.select(key, "kind", "n", "decides", "m.at", "m.expression", F.substring("text", F.greatest(at - BACK, F.lit(0)) + 1, F.least(at, F.lit(BACK))).alias("back"), F.substring("text", at + 1, F.lit(AHEAD)).alias("ahead"))
     each = each.withColumn("plain", F.regexp_replace("back", "(?iu)" + ascii_edges(rf"{rules.law}{rules.numbers}"), " "))
