@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.functions.text import found_in_any_case
 from quarrymill.operators.stance import matches
 
 
@@ -81,10 +82,11 @@ class Ladder(NamedTuple):
     steps: list[tuple[str, str]]
     default: str
 
-    def of(self, text: Column) -> Column:
-        out = F.when(matches(text, self.steps[0][0]), self.steps[0][1])
+    def of(self, text: Column, lower: Column) -> Column:
+        """`text` and `lower`, the text in lower case, should be columns, not expressions."""
+        out = F.when(found_in_any_case(text, lower, self.steps[0][0]), self.steps[0][1])
         for pattern, name in self.steps[1:]:
-            out = out.when(matches(text, pattern), name)
+            out = out.when(found_in_any_case(text, lower, pattern), name)
         return out.otherwise(F.lit(self.default))
 
 

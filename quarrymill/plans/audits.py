@@ -79,12 +79,13 @@ def heuristic_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 def classify(docs: DataFrame, text: str) -> DataFrame:
     """`docs` with piece, regime, justice and subject by the words of a text; null counts as empty."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    known = docs.withColumns({"piece": PIECE.of(t), "regime": REGIME.of(t), "justice": JUSTICE.of(t)})
-    civil = CIVIL_SUBJECT.of(t)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    t = F.col("_whole"), F.col("_lower")
+    known = docs.withColumns({"_whole": whole, "_lower": F.lower(whole)}).withColumns({"piece": PIECE.of(*t), "regime": REGIME.of(*t), "justice": JUSTICE.of(*t)})
+    civil = CIVIL_SUBJECT.of(*t)
     regime = F.col("regime")
-    subject = F.when(regime == "RPPS", "Regime Próprio de Previdência Social").when(regime == "RGPS", BENEFIT.of(t)).when(regime == "CLT", "Relação de Trabalho").when(civil != "", civil).when(F.col("piece") == "RECURSO", "Recurso")
-    return known.withColumn("subject", subject.otherwise("Demanda Judicial"))
+    subject = F.when(regime == "RPPS", "Regime Próprio de Previdência Social").when(regime == "RGPS", BENEFIT.of(*t)).when(regime == "CLT", "Relação de Trabalho").when(civil != "", civil).when(F.col("piece") == "RECURSO", "Recurso")
+    return known.withColumn("subject", subject.otherwise("Demanda Judicial")).drop("_whole", "_lower")
 
 
 #: Descriptions that describe no case.
