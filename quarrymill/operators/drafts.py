@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.functions.text import ascii_edges, fold, found as has_any
+from quarrymill.functions.text import ascii_edges, fold, found as has_any, found_in_any_case
 
 _GAP = "\x01"  # no pattern crosses it
 
@@ -94,9 +94,10 @@ class Form(NamedTuple):
 def form_findings(drafts: DataFrame, text: str, kind: str, forms: list[Form], key: str = "doc_id") -> DataFrame:
     """key, kind, name, fatal of each demand of its type that a draft doesn't meet; unknown types have none."""
     def hit(f: Form) -> Column:
-        has = F.col(text).rlike("(?iu)" + ascii_edges(f.pattern))
+        has = found_in_any_case(F.col(text), F.col("_lower"), f.pattern)
         return F.when((F.col(kind) == f.type) & (~has if f.required else has), F.struct(F.lit(f.name).alias("name"), F.lit(f.fatal).alias("fatal")))
 
+    drafts = drafts.withColumn("_lower", F.lower(text))
     return drafts.select(key, F.col(kind).alias("kind"), F.explode(F.array_compact(F.array(*map(hit, forms)))).alias("h")).select(key, "kind", "h.name", "h.fatal")
 
 
@@ -152,9 +153,12 @@ def request_findings(split: DataFrame, r: Requests, key: str = "doc_id") -> Data
     return base.select(key, F.explode(rows).alias("x")).select(key, "x.*")
 
 
-def genericity(text: Column, facts: Column, requests: Column, quality: Column, phrases: list[str], bare: str, context: str, blanks: str) -> Column:
-    """Points for generic phrases, missing facts and requests, weak extraction and blanks (five at most); no facts cost five."""
-    has = lambda p: text.rlike("(?iu)" + ascii_edges(p))
+def genericity(text: Column, lower: Column, facts: Column, requests: Column, quality: Column, phrases: list[str], bare: str, context: str, blanks: str) -> Column:
+    """Points for generic phrases, missing facts and requests, weak extraction and blanks (five at most); no facts cost five.
+
+    `lower` is the text in lower case, a column like `text`.
+    """
+    has = lambda p: found_in_any_case(text, lower, p)
     score = sum((has(p).cast("int") for p in phrases), F.lit(0)) + (has(bare) & ~has(context)).cast("int")
     score = score + F.when(facts == 0, 5).when(facts < 2, 2).otherwise(0) + F.when(requests < 1, 2).otherwise(0)
     score = score + F.when(quality == "INSUFICIENTE", 3).when(quality == "PARCIAL", 1).otherwise(0)

@@ -293,8 +293,8 @@ def _of_sql(values: list[str]) -> str:
     f"+ CASE doc_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END + CASE {_of_sql(_QUALITY)} WHEN 'INSUFICIENTE' THEN 3 WHEN 'PARCIAL' THEN 1 ELSE 0 END + least(5, len(regexp_extract_all(t, '(?i){TO_FILL}'))))::INT AS score FROM d",
 )
 def genericity_score(spark: SparkSession, sf: str) -> DataFrame:
-    score = D.genericity(F.col("t"), F.col("doc_id") % 4, F.col("doc_id") % 5, _of(_QUALITY), GENERIC, BARE, CONTEXT, TO_FILL)
-    return _drafts(spark, sf).select("doc_id", score.cast("int").alias("score"))
+    score = D.genericity(F.col("t"), F.col("low"), F.col("doc_id") % 4, F.col("doc_id") % 5, _of(_QUALITY), GENERIC, BARE, CONTEXT, TO_FILL)
+    return _drafts(spark, sf).withColumn("low", F.lower("t")).select("doc_id", score.cast("int").alias("score"))
 
 
 @query("ocr_gate", r"WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(regexp_replace(coalesce(text, ''), 'https?://\S+', '', 'g'), '\s+', ' ', 'g')), ' ') AS w FROM documents) SELECT doc_id, len(list_filter(w, lambda x: length(x) > 3 AND regexp_matches(x, '[a-zA-ZÀ-ÿ]'))) >= 25 AS useful FROM w")
