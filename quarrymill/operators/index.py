@@ -1,9 +1,8 @@
 """A built inverted index: postings written once, read by term, scored as BM25 with fuzzy terms.
 
 `build` passes over the texts once and writes, under a path: `docs` (a row for each document: key, lengths, stored columns), `blocks`
-(for each term, field and block of documents the postings, with the largest count and least length in it), `terms` (the
-vocabulary with document counts) and `near` (each term under all strings that deleting up to two of its letters leaves).
-`blocks`, `terms` and `near` lie in folders by a hash of the term and are sorted by it, so a search opens the folders of its
+(for each term, field and block of documents the postings, with the largest count and least length in it) and `terms` (the
+vocabulary with document counts). `blocks` and `terms` lie in folders by a hash of the term and are sorted by it, so a search opens the folders of its
 terms and, within them, the row groups that may hold them. A term that most documents have is many blocks over many files.
 
 `top` needs no block whose best possible score is under the k-th score of the most promising blocks.
@@ -21,8 +20,6 @@ from pyspark.sql import functions as F
 
 #: Documents of a block, as a power of two; folders by hash of a term.
 BLOCK_BITS, SHELVES = 10, 32
-#: Longer terms have too many neighbours to write: they are compared one by one, among terms of about their length.
-LONG_TERM = 32
 K1, B = 1.2, 0.75
 #: Expansions of a fuzzy term that count, best first.
 EXPANSIONS = 50
@@ -32,7 +29,6 @@ ROWS_AT_ONCE = 128
 _SCHEMAS = {
     "blocks": "term string, field int, block long, n int, max_tf int, min_len int, entries array<struct<docno: long, tf: int, len: int>>, shelf int",
     "terms": "term string, field int, df long, shelf int",
-    "near": "term string, df long, left string, shelf int",
 }
 
 
@@ -90,27 +86,11 @@ def build(docs: DataFrame, key: str, fields: dict[str, Column], path: str, *, st
     index = Index(spark, path, names)
     terms = index.table("blocks").groupBy("shelf", "term", "field").agg(F.sum("n").alias("df"))
     terms.repartitionByRange(parts, "shelf", "term").sortWithinPartitions("shelf", "term").write.partitionBy("shelf").parquet(f"{path}/terms")
-    words = index.table("terms").groupBy("term").agg(F.max("df").alias("df")).withColumn("long", F.char_length("term") > LONG_TERM)
-    near = words.where("not long").select("term", "df", F.explode(deletions(F.col("term"))).alias("left"))
-    near = near.unionByName(words.where("long").select("term", "df", F.lit(None).cast("string").alias("left"))).withColumn("shelf", F.when(F.col("left").isNull(), -1).otherwise(_shelf(F.col("left"))))
-    near.repartitionByRange(parts, "shelf", "left").sortWithinPartitions("shelf", "left").write.partitionBy("shelf").parquet(f"{path}/near")
     means = [F.avg(F.get("lengths", F.lit(i))).alias(f"mean_{i}") for i in range(len(names))]
     index.table("docs").agg(F.count("*").alias("n"), *means).write.parquet(f"{path}/totals")
     return index
 
 
-def deletions(term: Column, most: int = 2) -> Column:
-    """A string and all that deleting up to `most` (2 at most) of its characters leaves."""
-    one = lambda s: F.transform(F.sequence(F.lit(1), F.char_length(s)), lambda i: F.concat(F.substring(s, 1, i - 1), F.substring(s, i + 1, F.char_length(s))))
-    once = F.when(F.char_length(term) > 0, one(term)).otherwise(F.array().cast("array<string>"))
-    if most == 0:
-        return F.array(term)
-    if most == 1:
-        return F.array_distinct(F.concat(F.array(term), once))
-    again = F.flatten(F.transform(F.filter(once, lambda s: s != ""), one))
-    return F.array_distinct(F.concat(F.array(term), once, again))
-
-
 def allowed_edits(term: str) -> int:
     """None below three characters, one below six, else two."""
     return 0 if len(term) < 3 else 1 if len(term) < 6 else 2
@@ -119,25 +99,14 @@ def allowed_edits(term: str) -> int:
 def expand(index: Index, terms: list[str]) -> DataFrame:
     """term, token, distance, df: the vocabulary within the edits that a term's length allows.
 
-    Two words within d edits share a string that deleting up to d letters of each leaves, so they meet by equality.
+    One pass over the vocabulary, which compares the words of about a term's length up to that many edits. Neighbours are not written ahead: a word of n letters
+    has some n * n / 2, and words that occur once are most of a large vocabulary.
     """
-    spark = index.spark
-    near = index.table("near")
-    out = None
-    for most in (0, 1, 2):
-        own = [t for t in dict.fromkeys(terms) if allowed_edits(t) == most]
-        if not own:
-            continue
-        asked = spark.createDataFrame([(t,) for t in own], "asked string").select("asked", F.explode(deletions(F.col("asked"), most)).alias("left")).withColumn("shelf", _shelf(F.col("left")))
-        some = asked.collect()  # a few hundred strings for each term of the query
-        shelves, lefts = sorted({r["shelf"] for r in some}), sorted({r["left"] for r in some})
-        met = near.where(F.col("shelf").isin(shelves) & F.col("left").isin(lefts)).join(F.broadcast(asked.select("asked", "left")), "left").select("asked", "term", "df")
-        if longest := [t for t in own if len(t) + most > LONG_TERM]:
-            beside = near.where("shelf = -1").select("term", "df", F.explode(F.array(*map(F.lit, longest))).alias("asked"))
-            met = met.unionByName(beside.where(F.abs(F.char_length("term") - F.char_length("asked")) <= most).select("asked", "term", "df"))
-        close = met.distinct().withColumn("distance", F.levenshtein("term", "asked")).where(F.col("distance") <= most)
-        out = close if out is None else out.unionByName(close)
-    return out.select(F.col("asked").alias("term"), F.col("term").alias("token"), "distance", "df")
+    own = list(dict.fromkeys(terms))
+    asked = F.broadcast(index.spark.createDataFrame([(t, allowed_edits(t)) for t in own], "asked string, most int"))
+    about = F.abs(F.char_length("term") - F.char_length("asked")) <= F.col("most")
+    close = index.table("terms").join(asked, about & (F.levenshtein("term", "asked") <= F.col("most"))).groupBy("asked", "term").agg(F.max("df").alias("df"))
+    return close.select(F.col("asked").alias("term"), F.col("term").alias("token"), F.levenshtein("term", "asked").alias("distance"), "df")
 
 
 def _weights(index: Index, weights: dict[str, float], terms: list[str], fuzzy: bool) -> list[tuple[str, int, float]]:

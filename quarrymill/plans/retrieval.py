@@ -55,7 +55,7 @@ _NEAR = (
 
 @query("index_spellings", _NEAR + "SELECT term, token, distance, df FROM e")
 def index_spellings(spark: SparkSession, sf: str) -> DataFrame:
-    """The vocabulary within the edits that a term allows, by equality of what deletions leave."""
+    """The vocabulary within the edits that a term allows, by one pass over it."""
     return I.expand(_index(spark, sf), _ASKED)
 
 
