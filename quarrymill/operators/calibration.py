@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions.text import tokens
+from quarrymill.operators.tables import word_hits
 from quarrymill.sources.shared import write_once
 
 
@@ -138,14 +139,10 @@ def runs_to_do(cases: DataFrame, providers: list[int], done: DataFrame) -> DataF
 
 
 def multiset_overlap(expected: DataFrame, texts: DataFrame, key: list[str], text: str = "text", part: float = 0.3) -> DataFrame:
-    """item_id, key, hits: texts whose words, repeats counted, hit ceil(part) of an item's distinct words.
-
-    Words are counted in each text before they meet the items, so a word travels once for each text.
-    """
-    words = expected.select("item_id", F.array_distinct(tokens(F.col("text"), 3)).alias("w"))
-    words = words.select("item_id", F.greatest(F.lit(1), F.ceil(F.size("w") * part)).alias("need"), F.explode("w").alias("word"))
-    said = texts.select(*key, F.explode(tokens(F.col(text), 3)).alias("word")).groupBy(*key, "word").agg(F.count("*").alias("n"))
-    return said.join(words, "word").groupBy("item_id", *key, "need").agg(F.sum("n").alias("hits")).where("hits >= need").drop("need")
+    """item_id, key, hits: texts whose words, repeats counted, hit ceil(part) of an item's distinct words."""
+    items = expected.select("item_id", F.array_distinct(tokens(F.col("text"), 3)).alias("words"))
+    items = items.withColumn("need", F.greatest(F.lit(1), F.ceil(F.size("words") * part)))
+    return word_hits(items, texts.select(*key, text), key, tokens(F.col(text), 3))
 
 
 def lookup(key: Column, names: dict[str, str], default: str) -> Column:

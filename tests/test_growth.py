@@ -1,6 +1,6 @@
 """What a task holds does not grow with the table."""
 
-from quarrymill.operators import tables
+from quarrymill.operators import calibration, tables
 
 
 def test_overlap_counts_pairs_where_the_text_lies(spark, monkeypatch, tmp_path):
@@ -13,3 +13,13 @@ def test_overlap_counts_pairs_where_the_text_lies(spark, monkeypatch, tmp_path):
     # Four words need one. Rows of one id are one text, and no id is an id of its own, as in the SQL's GROUP BY.
     assert {tuple(r) for r in got.collect()} == {(1, 1, 3), (3, None, 1), *((1, i, 2) for i in range(10, 45))}
     assert got.rdd.getNumPartitions() == 8  # 40 texts, 5 to a task
+
+
+def test_multiset_overlap_counts_pairs_where_the_text_lies(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(tables, "TEXTS", 5, raising=False)
+    spark.createDataFrame([(1, "dois tres quatro cinco"), (2, None), (3, "sete")], "item_id long, text string").write.parquet(f"{tmp_path}/items")
+    rows = [(1, 0, "dois dois"), (1, 0, "tres"), (1, 1, "dois"), (None, None, "sete sete"), (2, 0, None), *((i, 0, "quatro três seis") for i in range(10, 45))]
+    got = calibration.multiset_overlap(spark.read.parquet(f"{tmp_path}/items"), spark.createDataFrame(rows, "conv_id long, turn int, text string"), ["conv_id", "turn"])
+    # Four words need two hits, repeats and rows of one key added up.
+    assert {tuple(r) for r in got.collect()} == {(1, 1, 0, 3), (3, None, None, 2), *((1, i, 0, 2) for i in range(10, 45))}
+    assert got.rdd.getNumPartitions() == 8  # 40 texts, 5 to a task
