@@ -422,7 +422,8 @@ def recommended_flag(spark: SparkSession, sf: str) -> DataFrame:
 @query("timeline", "SELECT 'order' AS kind, o_orderkey::VARCHAR AS id, o_orderdate::DATE::VARCHAR AS day FROM orders UNION ALL SELECT 'shipment', l_orderkey || '-' || l_linenumber || '-' || l_partkey, l_shipdate::DATE::VARCHAR FROM lineitem UNION ALL SELECT 'event', event_id::VARCHAR, ts::DATE::VARCHAR FROM events ORDER BY day DESC, kind, id")
 def timeline(spark: SparkSession, sf: str) -> DataFrame:
     one = lambda t, kind, i, at: read(spark, sf, t).select(F.lit(kind).alias("kind"), i.cast("string").alias("id"), F.to_date(at).cast("string").alias("day"))
-    return one("orders", "order", F.col("o_orderkey"), "o_orderdate").unionByName(one("lineitem", "shipment", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"), "l_shipdate")).unionByName(one("events", "event", F.col("event_id"), "ts")).orderBy(F.desc("day"), "kind", "id")
+    rows = one("orders", "order", F.col("o_orderkey"), "o_orderdate").unionByName(one("lineitem", "shipment", F.concat("l_orderkey", F.lit("-"), "l_linenumber", F.lit("-"), "l_partkey"), "l_shipdate")).unionByName(one("events", "event", F.col("event_id"), "ts"))
+    return tables.sorted_in_parts(rows, [F.desc("day"), F.col("kind"), F.asc_nulls_last("id")])
 
 
 @query("review_sample", "WITH c AS (SELECT l.doc_id, source, quality FROM labels l JOIN documents d ON l.doc_id = d.doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY source, quality ORDER BY doc_id) AS q, 0 AS z FROM c), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY q > 1, quality DESC, doc_id)::INT AS place FROM r) SELECT source, doc_id, quality, place FROM o WHERE place <= 5")
